@@ -22,8 +22,11 @@ Defined results
 
 from __future__ import annotations
 
+import array
+import os
 import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -135,40 +138,57 @@ class Encoder:
     """Encodes whole texts with a byte-level BPE file of the tokenizers library, and remembers pieces.
 
     Its pre-tokeniser always cuts before a single space between two characters that aren't white space, so a text may
-    be cut there and equal pieces be encoded once. The cache is emptied when full. ``ids`` gives little-endian bytes.
+    be cut there and equal pieces be encoded once. Two generations of at most ``cached`` pieces bound the memory.
+    ``ids`` gives little-endian bytes.
     """
 
-    def __init__(self, path: str, end_id: int = 0, cached: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int = 0, cached: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.end = end_id.to_bytes(self.id_bytes, "little")
-        self.cached, self.cache = cached, {}
+        self.cached, self.cache, self.older = cached, {}, {}
+
+    @classmethod
+    def of_worker(cls, path: str, end_id: int) -> Encoder:
+        """The encoder that this Python worker keeps from task to task."""
+        if (path, end_id) not in _encoders:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+            _encoders[path, end_id] = cls(path, end_id)
+        return _encoders[path, end_id]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = []
         for text in texts:
-            parts = _LONE_SPACE.split(text) if _DOUBLE_SPACE.search(text) else text.split(" ")
+            parts = text.split(" ")
             if len(parts) > 1:
-                # " " before a part that isn't the first; a space at either end of the text stays in place
-                if parts[-1] == "" or parts[0] == "":
+                # a space at either end of the text, or beside other white space, stays in place
+                if parts[-1] == "" or parts[0] == "" or _DOUBLE_SPACE.search(text):
                     parts = _LONE_SPACE.split(text)
-                cut.append([parts[0], *(" " + p for p in parts[1:])])
-            else:
-                cut.append(parts)
+                parts = [parts[0], *[" " + p for p in parts[1:]]]
+            cut.append(parts)
         if len(self.cache) > self.cached:
-            self.cache.clear()
-        missing = list({p for parts in cut for p in parts if p not in self.cache})
-        kind = f"<u{self.id_bytes}"
+            self.older, self.cache = self.cache, {}
+        missing = set().union(*cut).difference(self.cache)
+        for piece in missing.intersection(self.older):
+            self.cache[piece] = self.older[piece]
+        missing = list(missing.difference(self.older))
+        kind = "H" if self.id_bytes == 2 else "I"
         for at in range(0, len(missing), 20_000):
             some = missing[at : at + 20_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.cache[piece] = np.array(found.ids, kind).tobytes()
+            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                ids = array.array(kind, found.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                self.cache[piece] = ids.tobytes()
         look = self.cache.__getitem__
         return [b"".join(map(look, parts)) + self.end for parts in cut]
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_ids: int = 4 << 20) -> DataFrame:
     """A written table of shards: part (range of doc_id, ascending), before (ids before the shard in its part), n_ids,
     doc_ids of its documents, image. Texts are shuffled once, into ranges; each range is encoded as it streams by.
@@ -184,7 +204,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokenizer_path, end_id), TaskContext.get().partitionId()
+        encoder, part = Encoder.of_worker(tokenizer_path, end_id), TaskContext.get().partitionId()
         size, held, names, before, count = encoder.id_bytes, [], [], 0, 0
 
         def image() -> pa.RecordBatch:
@@ -238,8 +258,6 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
 def export(shards: DataFrame, folder: str) -> list[str]:
     """Write each image as a file of its own into a local folder, one shard at a time; their names in order."""
-    import os
-
     os.makedirs(folder, exist_ok=True)
     names = []
     for row in shards.orderBy("part", "before").toLocalIterator():
