@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.shared import written
+from loomstat.llm.shared import growing, written
 
 A, B = 31, 17  # of the rolling hash: 48-bit numbers times these stay far within 64 bits
 
@@ -57,7 +57,6 @@ def with_chunks(docs: DataFrame, divisor: int) -> DataFrame:
 def drop_repeated_chunks(docs: DataFrame, divisor: int = 3, min_lines: int = 2) -> DataFrame:
     """All rows and columns of ``docs`` with repeated chunks removed from ``text``, and ``lines_removed``."""
     base = docs.withColumn("__ld_text", F.xxhash64("text"))
-    chunked = with_chunks(base, divisor)
     occurrences = (
         with_chunks(base.select("doc_id", "text", "__ld_text"), divisor)
         .select("doc_id", "__ld_text", F.posexplode("__ld_chunks").alias("at", "chunk"))
@@ -85,7 +84,7 @@ def drop_repeated_chunks(docs: DataFrame, divisor: int = 3, min_lines: int = 2)
     )
     places = written(occurrences.select("doc_id", "__ld_text", "at", "h1", "h2"), "line-places")
     removed = written(
-        places.join(repeated, ["h1", "h2"])
+        places.join(growing(repeated), ["h1", "h2"])
         .where(~place.eqNullSafe(F.col("first")))
         .groupBy("doc_id", "__ld_text")
         .agg(F.collect_set("at").alias("__ld_removed")),
@@ -93,16 +92,19 @@ def drop_repeated_chunks(docs: DataFrame, divisor: int = 3, min_lines: int = 2)
     )
     marks = removed.select(F.col("doc_id").alias("__ld_id"), F.col("__ld_text").alias("__ld_key"), "__ld_removed")
     same = F.col("doc_id").eqNullSafe(F.col("__ld_id")) & (F.col("__ld_text") == F.col("__ld_key"))
-    joined = chunked.join(marks, same, "left")
+    joined = base.join(growing(marks), same, "left")
+    # Only texts with something to remove are cut again.
+    unmarked = F.col("__ld_removed").isNull()
+    joined = joined.withColumn("__ld_whole", F.col("text")).withColumn("text", F.when(~unmarked, F.col("text")))
+    joined = with_chunks(joined, divisor)
     gone = lambda at: F.array_contains("__ld_removed", at)
     kept = F.filter("__ld_chunks", lambda c, at: ~gone(at))
     lost = F.filter("__ld_chunks", lambda c, at: gone(at))
     text = F.array_join(F.transform(kept, lambda c: c["text"]), "\n")
     count = F.aggregate(F.transform(lost, lambda c: c["n_lines"]), F.lit(0), lambda s, n: s + n)
-    marked = F.col("__ld_removed").isNotNull()
     return joined.select(
-        *[F.when(marked, text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(marked, count).otherwise(0).cast("long").alias("lines_removed"),
+        *[F.when(unmarked, F.col("__ld_whole")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.when(unmarked, 0).otherwise(count).cast("long").alias("lines_removed"),
     )
 
 

@@ -58,3 +58,8 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 def remainder(doc_id: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``: the split into training and held-out rows. A null id is training."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod, F.lit(-1))
+
+
+def growing(df: DataFrame) -> DataFrame:
+    """The side of a join whose size follows the input: it's never broadcast, so the plan is the same at every size."""
+    return df.hint("merge")
