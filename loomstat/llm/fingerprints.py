@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstat.llm.shared import partitions, small_batches, text_of, written
+from loomstat.llm.shared import growing, partitions, small_batches, text_of, written
 
 
 def canonical(text: str) -> str:
@@ -95,7 +95,7 @@ def exact_classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
         F.count("*").alias("texts"), F.min("class_doc_id").alias("class_doc_id"), F.sum("rows").alias("rows")
     )
     plain = written(texts.where("texts = 1 and rows > 1").select("fingerprint", "class_doc_id"), "fingerprint-classes")
-    classed = prints.join(plain, "fingerprint", "left").select(
+    classed = prints.join(growing(plain), "fingerprint", "left").select(
         "doc_id", "fingerprint", F.coalesce("class_doc_id", "doc_id").alias("class_doc_id")
     )
     collided = texts.where("texts > 1").select("fingerprint")
@@ -228,6 +228,6 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         F.min("class_doc_id").alias("class_doc_id")
     )
     classes = written(classes, "fingerprint-class-rows")
-    return compared.join(classes, compared.doc_id.eqNullSafe(classes.doc_id), "left").select(
+    return compared.join(growing(classes), compared.doc_id.eqNullSafe(classes.doc_id), "left").select(
         compared["*"], classes.class_doc_id
     )
