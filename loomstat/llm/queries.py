@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstat.llm import chat, decontamination, fingerprints, line_dedup, packing, quality, token_output, toxicity
+from loomstat.llm import chat, decontamination, fingerprints, line_dedup, lm_scoring, packing, quality, token_output, toxicity
 from loomstat.llm.shared import table
 
 
@@ -27,6 +27,12 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality": op6_quality,
     "op7_token_output": op7_token_output,
     "op9_line_dedup": op9_line_dedup,
