@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstat.llm import chat, decontamination, fingerprints, line_dedup, lm_scoring, packing, quality, token_output, toxicity
+from loomstat.llm import chat, decontamination, fingerprints, line_dedup, lm_scoring, near_dedup, packing, quality, token_output, toxicity
 from loomstat.llm.shared import table
 
 
@@ -44,6 +44,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_shards(token_output.write_shards(table(spark, sf_dir, "documents"), path))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_chunks(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm_scoring": op5_lm_scoring,
     "op6_quality": op6_quality,
     "op7_token_output": op7_token_output,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

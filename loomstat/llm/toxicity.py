@@ -6,7 +6,7 @@ r = log of the ratio of its smoothed shares in toxic and in other training texts
 features gives the score. Whole texts are read for training and scoring.
 
 The classifier is fitted on a bounded sample of the labelled training rows: about ``sample`` of them (documented limit,
-6000), chosen by a hash of doc_id. Inputs of a score: the text alone.
+5000), chosen by a hash of doc_id. Inputs of a score: the text alone.
 
 Defined results
 * null text: empty; an empty text has few features and scores near the intercept
@@ -124,7 +124,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training, sa
     return docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, mod: int = 3, held: int = 1) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, mod: int = 3, held: int = 1) -> Classifier:
     rows = labelled_sample(docs, labels, "toxic", remainder("doc_id", mod) != held, sample)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +156,12 @@ def score(docs: DataFrame, classifier: Classifier, mod: int = 3, held: int = 1)
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> DataFrame:
     small_batches(docs.sparkSession)
     return score(docs, train(docs, labels, sample))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> DataFrame:
     """The rows of ``docs`` whose text scores under the threshold, all columns and types as they are."""
     spark = docs.sparkSession
     small_batches(spark)
