@@ -10,9 +10,11 @@ documents of weighted Jaccard J agree in a sample with probability J, and meet i
 missed about once in 500, one at 0.85 once in 10**4. Equal texts are one node from the start.
 
 Links between nodes are verified by exact weighted Jaccard of the whole texts (0.8 or more). Inside a bucket not all pairs
-are formed: some members are pivots, each is compared with all members of other classes, classes are joined, and members
-that still differ meet again with more pivots, until no pair of different classes in any bucket is left uncompared. So a
-bucket of copies costs a few comparisons a member, no link between different texts is lost, and there's no cap.
+are formed. First a few members, chosen by hash, are pivots, each is compared with all members, and what they link is joined
+into classes: most buckets are then of one class. The members of the others are dealt into blocks of about BLOCK by hash,
+and a task for each pair of blocks compares all its members of different classes with each other, by a product of
+sparse matrices; only links that join classes leave the task. So a bucket of copies costs a few comparisons a member, no link
+between different texts of a bucket is lost, there's no cap, and no task holds more than two blocks.
 
 Defined results
 * null text: empty. Equal texts (also empty ones) are always one class; a text without words is like no other text
@@ -36,6 +38,7 @@ WORDS, BANDS, ROWS, THRESHOLD = 5, 12, 4, 0.8
 DF_BITS, CHUNK_BITS = 20, 14
 TABLE_BITS = 16  # of the table of random numbers that a shingle's hash points into
 BATCH_BYTES = 1 << 20
+PIVOTS, BLOCK, COLUMNS = 4, 100, 4096
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _ODD = [int(x) | 1 for x in np.random.default_rng(5).integers(0, 1 << 63, 8 + BANDS * ROWS)]
@@ -145,7 +148,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["chunk", "counts", "docs"])
 
     schema = "chunk int, counts binary, docs long"
-    counted = texts.select("text").mapInArrow(count, schema)
+    counted = texts.select(text_of("text").alias("text")).mapInArrow(count, schema)
     got = counted.repartition(min(chunks, partitions(spark)), "chunk").mapInArrow(add, schema).toArrow()
     slots, docs = np.zeros((chunks, 1 << CHUNK_BITS)), 0
     for chunk, counts, d in zip(*(got.column(c).to_pylist() for c in ("chunk", "counts", "docs"))):
@@ -249,6 +252,86 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary"), "near-links")
 
 
+def overlaps(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of texts, and the weight that each two of them share, in memory bounded by their shingles."""
+    n, parts = len(texts), []
+    for some in by_bytes(texts):
+        shingles, times, offsets = shingle_sets(texts[some])
+        parts.append((shingles, times, np.repeat(np.arange(some.start, some.stop), np.diff(offsets))))
+    shingles, times, row = (np.concatenate(x) for x in zip(*parts))
+    weight = weigh(shingles, np.ones(len(shingles)), idf)
+    if (times > 1).any():  # the second, third ... occurrence is an element of its own
+        again = np.repeat(np.arange(len(times)), times)
+        count = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+        with np.errstate(over="ignore"):
+            shingles = _mixed(shingles[again] + count.astype(np.uint64) * np.uint64(_ODD[6]))
+        row, weight = row[again], weight[again]
+    totals = np.bincount(row, weight, n)
+    _, element, held = np.unique(shingles, return_inverse=True, return_counts=True)
+    both = held[element] > 1
+    row, weight, element = row[both], weight[both], np.unique(element[both], return_inverse=True)[1]
+    order = np.argsort(element, kind="stable")
+    row, weight, element = row[order], np.sqrt(weight[order].astype(np.float64)), element[order]
+    shared = np.zeros((n, n))
+    for at in range(0, int(element[-1]) + 1 if len(element) else 0, COLUMNS):
+        low, high = np.searchsorted(element, (at, at + COLUMNS))
+        part = np.zeros((n, COLUMNS))
+        part[row[low:high], element[low:high] - at] = weight[low:high]
+        shared += part @ part.T
+    return totals, shared
+
+
+def _linked_in_blocks(members: DataFrame, classes: DataFrame, pivots: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Links (a, b) between members of different classes of a bucket, in a written table."""
+    here = written(
+        members.join(growing(classes), "node", "left").select("band", "key", "node", F.coalesce("class", "node").alias("class")),
+        "near-rest",
+    )
+    # What a pivot isn't linked to needs no second look, so pivots count for nothing here.
+    used = pivots.select("band", "key", F.col("pivot").alias("node"))
+    rest = written(here.join(growing(used), ["band", "key", "node"], "left_anti"), "near-unused")
+    open_ = written(
+        rest.groupBy("band", "key")
+        .agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high"))
+        .where("low != high")
+        .select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")),
+        "near-open",
+    )
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = rest.join(growing(open_), ["band", "key"]).withColumn("block", block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "node", "class", "block", F.xxhash64("band", "key").alias("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+    schema = "a binary, b binary"
+
+    def compare(group: pa.Table) -> pa.Table:
+        nodes, of = group.column("node").to_pylist(), group.column("class").to_pylist()
+        block = group.column("block").to_numpy()
+        found: list[tuple[bytes, bytes]] = []
+        if len(set(of)) > 1:
+            bodies = group.column("text").to_pylist()
+            totals, shared = overlaps(bodies, idf.value)
+            union = totals[:, None] + totals[None] - shared
+            near = shared >= THRESHOLD * union - 1e-9 * union
+            near &= np.triu(np.ones(near.shape, bool), 1) & (union > 0)
+            if block.min() != block.max():
+                near &= block[:, None] != block[None]  # the rest is compared in the blocks' own tasks
+            parent = {c: c for c in of}
+            for a, b in zip(*(x.tolist() for x in np.nonzero(near))):
+                x, y = of[a], of[b]
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    found.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.binary()), "b": pa.array([x[1] for x in found], pa.binary())})
+
+    with_text = dealt.join(growing(texts), "node")
+    return written(with_text.groupBy("bucket", "i", "j").applyInArrow(compare, schema), "near-block-links")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """node, class of every node that has a link: the least node of its component. Least labels spread over links and are
     then looked up at their own label, so chains shorten by halves."""
@@ -312,39 +395,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
     texts = written(
         rows.join(growing(wanted), same).select(F.col("w_node").alias("node"), "text").dropDuplicates(["node"]), "near-texts"
     )
-    links, classes = None, None
-    left = members.select("band", "key", "node", F.col("node").alias("class"))
-    pivots_at_once = 4
-    while True:
-        salt = F.pmod(F.xxhash64("node", F.lit(pivots_at_once)), F.lit(pivots_at_once))
-        pivots = written(
-            left.groupBy("band", "key", salt.alias("salt")).agg(F.min(F.struct("node", "class")).alias("p"))
-            .select("band", "key", F.col("p.node").alias("p_node"), F.col("p.class").alias("p_class")),
-            "near-pivots",
-        )
-        pairs = written(
-            left.join(growing(pivots), ["band", "key"])
-            .where("class != p_class")
-            .select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b"))
-            .distinct(),
-            "near-pairs",
-        )
-        found = _verified(pairs, texts, idf)
-        links = found if links is None else links.union(found)
-        classes = connected(links)
-        # Members that have been pivots are done; buckets whose other members are of one class are done.
-        used = pivots.select("band", "key", F.col("p_node").alias("node"))
-        rest = left.drop("class").join(growing(used), ["band", "key", "node"], "left_anti")
-        rest = rest.join(growing(classes), "node", "left").select("band", "key", "node", F.coalesce("class", "node").alias("class"))
-        rest = written(rest, "near-rest")
-        open_ = written(
-            rest.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("band", "key"),
-            "near-open",
-        )
-        if open_.isEmpty():
-            break
-        left = written(rest.join(growing(open_), ["band", "key"]), "near-left")
-        pivots_at_once *= 4
+    salt = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    pivots = written(
+        members.groupBy("band", "key", salt.alias("salt")).agg(F.min("node").alias("pivot")).select("band", "key", "pivot"),
+        "near-pivots",
+    )
+    pairs = written(
+        members.join(growing(pivots), ["band", "key"])
+        .where("node != pivot")
+        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        .distinct(),
+        "near-pairs",
+    )
+    links = _verified(pairs, texts, idf)
+    first = connected(links)
+    links = links.union(_linked_in_blocks(members.select("band", "key", "node"), first, pivots, texts, idf))
+    classes = connected(links)
     of_rows = written(
         signed.select("doc_id", "node").join(growing(classes), "node", "left").select("doc_id", "node", F.coalesce("class", "node").alias("class")),
         "near-rows",
