@@ -138,12 +138,17 @@ class Spelling:
         alpha = self.forward(arcs, n)
         beta = np.full(alpha.shape, -np.inf)
         beta[-1] = 0
+        found, shares = [], []
         for end in range(len(arcs) - 1, 0, -1):
             for start, piece in arcs[end]:
-                through = beta[end] + self.weights[piece]
-                share = np.exp(alpha[start] + through - alpha[-1])
-                counts += np.bincount(piece + 1, share, len(counts) + 1)[1:]
-                beta[start] = np.logaddexp(beta[start], through)
+                hit = np.flatnonzero(piece >= 0)
+                there = piece[hit]
+                through = beta[end][hit] + self.weights[there]
+                found.append(there)
+                shares.append(np.exp(alpha[start][hit] + through - alpha[-1][hit]))
+                beta[start][hit] = np.logaddexp(beta[start][hit], through)
+        if found:
+            counts += np.bincount(np.concatenate(found), np.concatenate(shares), len(counts))
 
 
 def _by_length(words: list[bytes], cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -158,7 +163,7 @@ def _by_length(words: list[bytes], cells: int = 200_000) -> Iterator[tuple[np.nd
             yield some, joined.reshape(len(some), -1)
 
 
-def _in_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+def _in_groups(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.Table]:
     held, n = [], 0
     for batch in batches:
         held.append(batch)
