@@ -28,6 +28,11 @@ _DATE = "[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
 _RFC3339 = f"{_DATE}[Tt ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\\.[0-9]+)?([Zz]|[+-]([01][0-9]|2[0-3]):[0-5][0-9])"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it. Not for the hot path of typed tables."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def utrim(s: Column) -> Column:
     return F.regexp_replace(s, "^(?U)\\s+|(?U)\\s+$", "")
 
@@ -135,23 +140,36 @@ PREDICATES = {
 def csv_cell(s: Column) -> Column:
     """A CSV cell by its own text: struct<kind, num, is_int, label, str>. Trimmed; empty is null; then boolean, integer
     (up to unsigned 64 bits), finite float, string."""
-    t = utrim(s)
-    integer = F.when(_whole(t, "[+-]?[0-9]+"), t.try_cast("decimal(38,0)"))
-    fits = integer.between(F.lit(str(-(2**63))).cast("decimal(38,0)"), F.lit(str(2**64 - 1)).cast("decimal(38,0)"))
-    number = F.when(_whole(t, _FLOAT), t.try_cast("double"))
-    finite = number.isNotNull() & (F.abs(number) < float("inf"))
-    is_bool = F.lower(t).isin("true", "false")
-    empty = t.isNull() | (t == "")
-    kind = F.when(empty, "null").when(is_bool, "boolean").when(finite, "number").otherwise("string")
-    is_int = F.coalesce(~empty & ~is_bool & fits, F.lit(False))
-    return F.struct(
-        kind.alias("kind"),
-        F.when(kind == "number", number).alias("num"),
-        is_int.alias("is_int"),
-        F.when(kind == "boolean", F.lower(t))
-        .when(is_int, integer.cast("string"))
-        .when(kind == "number", number.cast("string"))
-        .when(kind == "string", t)
-        .alias("label"),
-        F.when(kind == "string", t).alias("str"),
-    )
+    low, high = (F.lit(str(x)).cast("decimal(38,0)") for x in (-(2**63), 2**64 - 1))
+
+    def parsed(t: Column) -> Column:
+        return F.struct(
+            t.alias("t"),
+            F.when(_whole(t, "[+-]?[0-9]+"), t.try_cast("decimal(38,0)")).alias("integer"),
+            F.when(_whole(t, _FLOAT), t.try_cast("double")).alias("number"),
+        )
+
+    def named(p: Column) -> Column:
+        kind = (
+            F.when(p["t"] == "", "null")
+            .when(F.lower(p["t"]).isin("true", "false"), "boolean")
+            .when(F.abs(p["number"]) < float("inf"), "number")
+            .otherwise("string")
+        )
+        return F.struct(kind.alias("kind"), F.coalesce(p["integer"].between(low, high), F.lit(False)).alias("is_int"), p.alias("p"))
+
+    def cell(c: Column) -> Column:
+        kind, p = c["kind"], c["p"]
+        return F.struct(
+            kind.alias("kind"),
+            F.when(kind == "number", p["number"]).alias("num"),
+            c["is_int"].alias("is_int"),
+            F.when(kind == "boolean", F.lower(p["t"]))
+            .when(c["is_int"], p["integer"].cast("string"))
+            .when(kind == "number", p["number"].cast("string"))
+            .when(kind == "string", p["t"])
+            .alias("label"),
+            F.when(kind == "string", p["t"]).alias("str"),
+        )
+
+    return let(let(let(F.coalesce(utrim(s), F.lit("")), parsed), named), cell)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomstat.operators.profile import TOP, log2_term, ratio, top_of
 from loomstat.operators.ranking import average_ranks
 from loomstat.sources.cells import Dataset, cells, typed_cell, variant_cell, _with_canon
-from loomstat.functions.text import csv_cell
+from loomstat.functions.text import csv_cell, let
 
 _VALUE = ("kind", "num", "label")
 
@@ -32,7 +32,7 @@ def paired(data: Dataset, columns: list[str] | None = None) -> DataFrame:
         cell = lambda n: _slim(_with_canon(csv_cell(F.col(f"`{n}`"))))
     else:
         kinds = {f.name: f.dataType for f in data.rows.schema.fields}
-        cell = lambda n: _slim(typed_cell(F.col(f"`{n}`"), kinds[n]))
+        cell = lambda n: _plain(typed_cell(F.col(f"`{n}`"), kinds[n]))
     wide = data.rows.select(F.monotonically_increasing_id().alias("row_id"), *[cell(n).alias(f"c{k}") for k, n in enumerate(names)])
     each = [
         F.struct(F.lit(names[i]).alias("left"), F.lit(names[j]).alias("right"), F.col(f"c{i}").alias("l"), F.col(f"c{j}").alias("r"))
@@ -41,10 +41,14 @@ def paired(data: Dataset, columns: list[str] | None = None) -> DataFrame:
     return wide.select("row_id", F.explode(F.array(*each)).alias("p")).select("row_id", "p.*")
 
 
-def _slim(cell: Column) -> Column:
+def _plain(cell: Column) -> Column:
     return F.struct(*[cell[c].alias(c) for c in _VALUE])
 
 
+def _slim(cell: Column) -> Column:
+    return let(cell, lambda c: F.struct(*[c[n].alias(n) for n in _VALUE]))
+
+
 def _there(side: str) -> Column:
     return F.coalesce(F.col(f"{side}.kind") != "null", F.lit(False))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions import text
-from loomstat.functions.text import csv_cell
+from loomstat.functions.text import csv_cell, let
 from loomstat.operators.profile import ratio, top_of
 from loomstat.sources.cells import Dataset, normalised, variant_cell
 
@@ -37,7 +37,7 @@ def as_variants(data: Dataset) -> DataFrame:
         raw = lambda c: F.when(c["kind"] == "string", F.regexp_extract(quoted(c), "(?s)^\\[(.*)\\]$", 1)).otherwise(
             F.coalesce(c["label"], F.lit("null"))
         )
-        parts = [F.concat(F.lit(_json_key(n) + ":"), raw(cell(n))) for n in data.rows.columns]
+        parts = [F.concat(F.lit(_json_key(n) + ":"), let(cell(n), raw)) for n in data.rows.columns]
         return data.rows.select(F.parse_json(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))).alias("v"))
     fields = [normalised(F.col(f"`{f.name}`"), f.dataType)[0].alias(f.name) for f in data.rows.schema.fields]
     return data.rows.select(F.to_variant_object(F.struct(*fields)).alias("v"))

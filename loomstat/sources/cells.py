@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstat.functions.text import csv_cell
+from loomstat.functions.text import csv_cell, let
 
 KINDS = ("null", "boolean", "number", "string", "array", "object")
 CELL = "struct<kind:string,num:double,is_int:boolean,label:string,str:string,canon:string>"
@@ -113,30 +113,39 @@ def typed_cell(column: Column, kind: T.DataType) -> Column:
 
 
 def variant_cell(v: Column) -> Column:
-    shape = F.schema_of_variant(v)
-    kind = (
-        F.when(F.is_variant_null(v), "null")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape == "STRING", "string")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape.startswith("OBJECT"), "object")
-        .otherwise("number")
-    )
-    text = v.cast("string")
-    whole = shape.rlike("^DECIMAL\\([0-9]+,0\\)$")
-    long_ = whole & (F.regexp_extract(shape, "\\(([0-9]+),", 1).try_cast("int") >= 19)
-    is_int = (shape == "BIGINT") | F.coalesce(long_, F.lit(False))
-    # 1.0 is kept apart from 1
-    label = F.when(kind.isin("array", "object", "null"), None).when(whole & ~is_int, F.concat(text, F.lit(".0"))).otherwise(text)
-    canon = F.when(kind == "number", label).otherwise(F.to_json(v))
-    return _cell(
-        kind,
-        num=F.when(kind == "number", finite(F.try_variant_get(v, "$", "double"))),
-        is_int=is_int,
-        label=label,
-        text=F.when(kind == "string", text),
-        canon=F.when(kind != "null", canon),
-    )
+    def shaped(v: Column) -> Column:
+        shape = F.schema_of_variant(v)
+        whole = F.regexp_extract(shape, "^DECIMAL\\(([0-9]+),0\\)$", 1).try_cast("int")
+        kind = (
+            F.when(F.is_variant_null(v), "null")
+            .when(shape == "BOOLEAN", "boolean")
+            .when(shape == "STRING", "string")
+            .when(shape.startswith("ARRAY"), "array")
+            .when(shape.startswith("OBJECT"), "object")
+            .otherwise("number")
+        )
+        is_int = (shape == "BIGINT") | F.coalesce(whole >= 19, F.lit(False))
+        # 1.0 is kept apart from 1
+        point = F.when(whole.isNotNull() & ~is_int, F.lit(".0")).otherwise(F.lit(""))
+        return F.struct(v.alias("v"), kind.alias("kind"), is_int.alias("is_int"), point.alias("point"))
+
+    def labelled(s: Column) -> Column:
+        scalar = F.when(~s["kind"].isin("array", "object", "null"), F.concat(s["v"].cast("string"), s["point"]))
+        return F.struct(s.alias("s"), scalar.alias("label"))
+
+    def cell(x: Column) -> Column:
+        s, label = x["s"], x["label"]
+        kind = s["kind"]
+        return _cell(
+            kind,
+            num=F.when(kind == "number", let(F.try_variant_get(s["v"], "$", "double"), finite)),
+            is_int=s["is_int"],
+            label=label,
+            text=F.when(kind == "string", label),
+            canon=F.when(kind == "number", label).when(kind != "null", F.to_json(s["v"])),
+        )
+
+    return let(let(let(v, shaped), labelled), cell)
 
 
 def cells(data: Dataset, columns: list[str] | None = None) -> DataFrame:
@@ -160,6 +169,10 @@ def cells(data: Dataset, columns: list[str] | None = None) -> DataFrame:
 
 
 def _with_canon(cell: Column) -> Column:
+    return let(cell, _canon)
+
+
+def _canon(cell: Column) -> Column:
     canon = F.when(cell["kind"] == "string", _quoted(cell["str"])).when(cell["kind"] != "null", cell["label"])
     return F.struct(
         *[cell[c].alias(c) for c in ("kind", "num", "is_int", "label", "str")], canon.alias("canon")

@@ -10,6 +10,7 @@ import shutil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstat.functions.text import let
 from loomstat.operators.structure import as_variants, tabular_types
 from loomstat.plans.schema import type_name
 from loomstat.sources import avro
@@ -29,16 +30,17 @@ def tabular(data: Dataset, empty_nulls: bool = False) -> tuple[DataFrame, dict[s
     entry = F.expr("try_cast(v AS map<string, variant>)")
 
     def column(n: str) -> Column:
-        v = entry[n]
-        c = variant_cell(v)
-        text = F.when(c["kind"] == "string", c["str"]).otherwise(F.coalesce(c["label"], F.when(c["kind"] != "null", F.to_json(v))))
-        if kinds[n] == "utf8":
-            out = F.when(c["kind"] == "null", F.lit("")).otherwise(text) if empty_nulls else text
-            return F.when(F.map_contains_key(entry, n), out)
-        kind = SPARK_TYPES[kinds[n]]
-        return F.when(F.map_contains_key(entry, n), F.try_variant_get(v, "$", kind))
-
-    return as_variants(data).select(*[column(n).alias(n) for n in names]), kinds
+        v = F.try_element_at("m", F.lit(n))
+        if kinds[n] != "utf8":
+            return F.try_variant_get(v, "$", SPARK_TYPES[kinds[n]])
+
+        def text(c: Column) -> Column:
+            scalar = F.coalesce(c["str"], c["label"], c["canon"])
+            return F.when(c["kind"] == "null", F.lit("")).otherwise(scalar) if empty_nulls else scalar
+
+        return F.when(v.isNotNull(), let(variant_cell(v), text))
+
+    return as_variants(data).select(entry.alias("m")).select(*[column(n).alias(n) for n in names]), kinds
 
 
 def _one_file(write, path: str) -> None:

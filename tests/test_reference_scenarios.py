@@ -1,0 +1,204 @@
+import json
+
+import pytest
+
+from loomstat import cli
+from loomstat.operators import evaluate, synth
+from loomstat.plans import report, schema
+from loomstat.sources.readers import detect_format, read
+from loomstat.sources.sinks import write
+from tests import fixtures
+
+
+@pytest.fixture
+def stored(tmp_path):
+    def store(rows, name="sample dataset.json"):
+        path = tmp_path / name
+        text = json.dumps(rows) if name.endswith("json") else "\n".join(map(json.dumps, rows)) + "\n\n"
+        path.write_text(text)
+        return str(path)
+
+    return store
+
+
+def test_extended_statistics(spark, stored):
+    stats = report.analyze(read(spark, stored(fixtures.SPARSE)))
+    columns = {c["name"]: c for c in stats["columns"]}
+    assert (stats["row_count"], stats["column_count"]) == (3, 8)
+    assert list(columns) == sorted(columns)
+    name, score = columns["name"], columns["score"]["numeric_summary"]
+    assert (name["non_null_count"], name["null_count"], name["missing_count"]) == (2, 1, 0)
+    assert (score["count"], score["sum"], score["median"], score["integer_like_count"]) == (3, 60.0, 20.0, 3)
+    assert score["p95"] == pytest.approx(29.0)
+    assert score["monotonic_increasing"] and not score["monotonic_decreasing"] and not score["is_constant"]
+    likes = {"event_date": "date_like", "profile_url": "url_like", "payload": "json_like"}
+    for column, like in likes.items():
+        assert columns[column]["string_summary"][f"{like}_count"] == 3
+    assert columns["email"]["string_summary"]["email_like_count"] == 2
+    assert columns["event_date"]["temporal_summary"] == {"count": 3, "min": "2024-01-05T00:00:00+00:00", "max": "2024-01-07T00:00:00+00:00"}
+    pairs = {(p["left"], p["right"]): p for p in stats["column_pairs"]}
+    numeric = pairs[("id", "score")]["numeric_relationship"]
+    assert numeric["pearson_correlation"] == pytest.approx(1) and numeric["spearman_correlation"] == pytest.approx(1)
+    assert numeric["r_squared"] == pytest.approx(1) and numeric["slope"] == pytest.approx(10)
+    assert pairs[("id", "score")]["shared_distinct_scalar_count"] == 0
+    assert pairs[("category", "email")]["categorical_relationship"]["distinct_pair_count"] == 3
+    text = report.to_markdown(stats)
+    assert "# Dataset Statistics Report" in text and "## Numeric Column Pairs" in text and "| id | score | 3 | 1.0000 |" in text
+    assert json.loads(report.to_json(stats))["row_count"] == 3
+
+
+def test_structure(spark, stored):
+    stats = report.analyze(read(spark, stored(fixtures.NESTED)))
+    s = stats["structure"]
+    assert s["nested_field_count"] == 6
+    paths = {f["path"]: f for f in s["nested_fields"]}
+    assert set(paths) == {"id", "profile", "profile.active", "profile.email", "tags", "tags[]"}
+    assert paths["profile.email"] == {"path": "profile.email", "occurrence_count": 2, "null_count": 0, "observed_types": {"string": 2}}
+    columns = {c["name"]: c for c in s["columns"]}
+    assert (columns["tags"]["array_summary"]["min_length"], columns["tags"]["array_summary"]["max_length"]) == (1, 2)
+    assert columns["tags"]["array_summary"]["element_type_counts"] == {"string": 3}
+    assert columns["profile"]["object_summary"]["top_keys"][0] == {"value": "active", "count": 2, "ratio": 1.0}
+    assert s["dataset_type_counts"] == {"array": 2, "number": 2, "object": 2}
+
+
+def test_schema_renderers(spark, stored):
+    root = schema.infer(read(spark, stored(fixtures.UNION)))
+    assert list(dict(root.sorted_fields())) == ["id", "profile", "tags"]
+    assert not root.fields["profile"].required("active") and root.required("id")
+    name = schema.type_name("sample dataset")
+    assert name == "SampleDataset"
+    shown = {k: schema.render(root, name, "json", k) for k in cli.SCHEMA_OUTPUTS}
+    assert json.loads(shown["openapi"])["openapi"] == "3.1.0"
+    js = json.loads(shown["json-schema"])
+    assert js["required"] == ["id", "profile", "tags"] and js["properties"]["tags"]["items"]["type"] == ["null", "string"]
+    assert js["properties"]["profile"]["properties"]["email"]["x-semantic-hints"] == ["email_like"]
+    avro = json.loads(shown["avro"])
+    assert avro["name"] == "SampleDataset" and avro["fields"][1]["type"]["name"] == "SampleDatasetProfile"
+    assert avro["fields"][2]["type"] == {"type": "array", "items": ["null", "string"]}
+    assert "export interface SampleDataset {" in shown["typescript"] and "tags: (null | string)[];" in shown["typescript"]
+    assert "class SampleDataset(TypedDict, total=False):" in shown["python"]
+    compile(shown["python"], "x", "exec")
+    assert "| $.profile.active | no | boolean | - |" in shown["markdown"]
+    assert json.loads(shown["json"])["root"]["object"]["fields"][0]["name"] == "id"
+
+
+def test_csv_to_parquet_keeps_integers(spark, tmp_path):
+    source, target = tmp_path / "in.csv", tmp_path / "out" / "t.parquet"
+    source.write_text('id,name,score\n1,"a, ""b""",10\n2,,20\n')
+    done = cli.transform_dataset(spark, str(source), str(target))
+    assert (done["row_count"], done["column_count"]) == (2, 3)
+    df = spark.read.parquet(str(target))
+    assert dict(df.dtypes) == {"id": "bigint", "name": "string", "score": "bigint"}
+    assert sorted(map(tuple, df.collect())) == [(1, 'a, "b"', 10), (2, None, 20)]
+
+
+def test_json_to_avro_and_back(spark, stored, tmp_path):
+    rows = [{"id": 1, "name": "a", "active": True, "meta": {"role": "admin"}}, {"id": 2, "name": None, "active": False, "meta": {"role": "x"}}]
+    target = str(tmp_path / "my file.avro")
+    cli.transform_dataset(spark, stored(rows), target)
+    got = report.head(read(spark, target))
+    assert got["rows"][0] == {"active": True, "id": 1, "meta": '{"role":"admin"}', "name": "a"}
+    assert got["rows"][1]["name"] is None
+
+
+@pytest.mark.parametrize("kind", ["csv", "json", "jsonl", "parquet", "avro"])
+def test_every_format_round_trips(spark, stored, tmp_path, kind):
+    rows = [{"a": 1, "b": "x", "c": True, "d": 1.5}, {"a": 2, "b": "y|z\nq", "c": False, "d": -2.0}]
+    path = str(tmp_path / f"t.{kind}")
+    write(read(spark, stored(rows)), path)
+    got = report.head(read(spark, path))
+    assert got["rows"] == rows and got["total_row_count"] == 2
+    assert "y\\|z\\nq" in report.head_markdown(got)
+
+
+def test_head(spark, stored):
+    got = report.head(read(spark, stored([{"id": k, "name": f"n{k}"} for k in range(3)], "t.jsonl")), 2)
+    assert (got["total_row_count"], got["returned_row_count"], got["columns"]) == (3, 2, ["id", "name"])
+    assert report.head_markdown(got).startswith("# Dataset Head\n")
+
+
+def test_smote(spark, stored, tmp_path):
+    out = str(tmp_path / "out.json")
+    got = cli.smote_dataset(spark, stored(fixtures.IMBALANCED), out, "class", seed=42)
+    assert (got["synthetic_row_count"], got["output_row_count"], got["minority_label"]) == (5, 10, "minority")
+    assert got["feature_columns"] == ["x", "y"]
+    rows = [r for r in json.loads(open(out).read()) if r["class"] == "minority"]
+    assert all(1 <= r["x"] <= 1.2 and 1 <= r["y"] <= 1.1 for r in rows) and len(rows) == 7
+    assert len(got["evaluation"]["caveats"]) == 3 and len(got["evaluation"]["references"]) == 3
+    assert got["evaluation"]["privacy"]["rare_value_alerts"]["threshold"] == 5
+    assert got["stats_diff"]["row_count_delta"] == 5
+    again = cli.smote_dataset(spark, stored(fixtures.IMBALANCED), out, "class", seed=42, target_rows=5)
+    assert (again["synthetic_row_count"], again["output_row_count"]) == (5, 5)
+
+
+def test_smote_errors(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, "b")], "x double, c string")
+    for options in ({"k": 0}, {"samples": 0}, {}, {"label": "zzz"}):
+        with pytest.raises(ValueError):
+            synth.smote(df, "c", **options)
+    with pytest.raises(ValueError):
+        synth.minority_label(df.union(spark.createDataFrame([(1.0, None)], df.schema)), "c")
+    with pytest.raises(ValueError):
+        synth.exactly(df, 4)
+
+
+def test_dp_noise(spark, stored, tmp_path):
+    got = cli.dp_noise_dataset(spark, stored(fixtures.NOISY), str(tmp_path / "out.csv"), seed=3)
+    assert got["row_count"] == 3 and got["noisy_columns"] == ["id", "x", "y"]
+    assert len(got["evaluation"]["caveats"]) == 4
+    alerts = got["evaluation"]["privacy"]["rare_value_alerts"]
+    assert (alerts["reviewed_columns"], alerts["columns_with_alerts"]) == (1, 1)
+    df = spark.read.option("header", True).csv(str(tmp_path / "out.csv"))
+    assert sorted(r["class"] for r in df.collect()) == ["a", "a", "b"]
+    assert all(r["id"] in "123" and 1 <= float(r["x"]) <= 3 for r in df.collect())
+    with pytest.raises(ValueError):
+        synth.dp_noise(df, 0)
+
+
+def test_rare_values(spark):
+    real = spark.createDataFrame([(1.0, v) for v in "AABC"], "x double, diagnosis string")
+    made = spark.createDataFrame([(1.0, v) for v in "ABBC"], "x double, diagnosis string")
+    row = evaluate.rare_value_alerts(real, made, ["diagnosis"]).first()
+    assert (row["reference_distinct_value_count"], row["synthetic_distinct_value_count"]) == (3, 3)
+    assert (row["reference_unique_value_count"], row["synthetic_unique_value_count"]) == (2, 2)
+    assert (row["reference_rare_value_count"], row["synthetic_rare_value_count"]) == (3, 3)
+    assert (row["overlapping_unique_value_count"], row["overlapping_unique_examples"]) == (2, ["A", "C"])
+    assert (row["overlapping_rare_value_count"], row["overlapping_rare_examples"]) == (3, ["A", "B", "C"])
+
+
+def test_diffusion(spark, stored, tmp_path):
+    model, out = str(tmp_path / "m.df.json"), str(tmp_path / "made.json")
+    source = stored(fixtures.PEOPLE)
+    got = cli.train_diffusion(spark, source, model, timesteps=16, examples=4, seed=1)
+    assert got["numeric_columns"] == ["age", "income"] and got["passthrough_columns"] == ["segment"]
+    made = cli.generate_diffusion(spark, model, source, out, rows=6, seed=2)
+    rows = json.loads(open(out).read())
+    assert made["row_count"] == len(rows) == 6
+    assert all(20 <= r["age"] <= 50 and 100 <= r["income"] <= 260 and r["segment"] in "abc" for r in rows)
+    artifact = json.loads(open(model).read())
+    assert artifact["version"] == "0.1.0" and artifact["method"] == "tabular_gaussian_ddpm_linear"
+    flat, n, m = artifact["denoiser"]["weights"]
+    assert (n, m, len(flat)) == (5, 2, 10) and len(artifact["schedule"]["betas"]) == 16
+    for options in ({"timesteps": 1}, {"examples": 0}, {"alpha": 0}, {"columns": ["segment"]}):
+        with pytest.raises(ValueError):
+            cli.train_diffusion(spark, source, model, **options)
+
+
+def test_formats_by_extension(spark, stored, tmp_path):
+    assert detect_format("a/b.NDJSON") == "jsonl"
+    for path in ("a/b", "a/b.data"):
+        with pytest.raises(ValueError):
+            detect_format(path)
+    target = str(tmp_path / "rows.data")
+    assert cli.transform_dataset(spark, stored(fixtures.NOISY), target, "parquet")["output_format"] == "parquet"
+    assert spark.read.parquet(target).count() == 3
+
+
+def test_command_line(spark, stored, capsys, tmp_path):
+    path = stored(fixtures.NOISY, "noisy rows.json")
+    assert "- Rows: `3`" in cli.main(["stats", path], spark)
+    assert json.loads(cli.main(["head", path, "--rows", "1", "--output", "json"], spark))["returned_row_count"] == 1
+    assert "NoisyRows" in cli.main(["schema", path, "--output", "typescript"], spark)
+    assert json.loads(cli.main(["transform", path, str(tmp_path / "x.csv")], spark))["row_count"] == 3
+    made = json.loads(cli.main(["synth", "dp-noise", path, str(tmp_path / "y.json"), "--epsilon", "2", "--seed", "1"], spark))
+    assert made["epsilon"] == 2.0
