@@ -138,14 +138,15 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 32,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, mod: int = 4, held: int = 2) -> Network:
-    """Only the bounded sample of ids and labels is broadcast, and only the sample's texts reach the driver."""
+    """Only the bounded sample of ids and labels is broadcast, and only the sample's texts (twice ``sample`` at most, for a
+    doc_id may be repeated) reach the driver."""
     named = labels.select("doc_id", F.col("quality").alias("label")).where(
         F.col("quality").isin(0, 1) & (remainder("doc_id", mod) != held)
-    )
+    ).distinct()
     share = min(1.0, sample / max(1, named.count()))
     chosen = named.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    got = rows.select("doc_id", "text", "label").limit(2 * sample).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(got.column("text").to_pylist(), got.column("label").to_numpy().astype(np.float64))
 
 

@@ -32,16 +32,21 @@ SIZES = (3, 4, 5)
 THRESHOLD = 0.7
 
 
+SEGMENT = 1 << 20  # bytes of a text that are hashed at a time
+
+
 def grams(text: str) -> np.ndarray:
-    """Distinct hashed n-grams of a whole text."""
-    slots = gram_slots(text)
-    return np.unique(slots)
+    """Distinct hashed n-grams of a whole text, in ascending order."""
+    raw = np.frombuffer(b" " + b" ".join(text.lower().encode().split()) + b" ", np.uint8)
+    if len(raw) <= SEGMENT:
+        return np.unique(_slots(raw))
+    parts = [np.unique(_slots(raw[at : at + SEGMENT + max(SIZES) - 1])) for at in range(0, len(raw), SEGMENT)]
+    return np.unique(np.concatenate(parts))
 
 
-def gram_slots(text: str) -> np.ndarray:
-    """Hashed n-grams of a whole text, in place order, repeats included."""
-    raw = b" " + b" ".join(text.lower().encode().split()) + b" "
-    data = np.frombuffer(raw, np.uint8).astype(np.uint32)
+def _slots(raw: np.ndarray) -> np.ndarray:
+    """Hashed n-grams of bytes, in place order, repeats included."""
+    data = raw.astype(np.uint32)
     found = []
     rolling = data.copy()
     for n in range(2, max(SIZES) + 1):
@@ -64,10 +69,14 @@ class Classifier:
         seen = np.zeros(1 << BITS, np.int32)
         out = np.empty(len(texts))
         for k, text in enumerate(texts):
-            slots = gram_slots(text)
-            order = np.arange(len(slots), dtype=np.int32)
-            seen[slots] = order
-            distinct = slots[seen[slots] == order]  # the last of each slot
+            if len(text) > SEGMENT // 4:
+                distinct = grams(text)
+            else:
+                raw = b" " + b" ".join(text.lower().encode().split()) + b" "
+                slots = _slots(np.frombuffer(raw, np.uint8))
+                order = np.arange(len(slots), dtype=np.int32)
+                seen[slots] = order
+                distinct = slots[seen[slots] == order]  # the last of each slot
             total = float(self.weights[distinct].sum(dtype=np.float64))
             out[k] = total / np.sqrt(max(1, len(distinct))) + self.bias
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
@@ -114,14 +123,13 @@ def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 500, l2: fl
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training, sample: int) -> DataFrame:
-    """text and label (0/1) of about ``sample`` labelled training rows, chosen by a hash of doc_id.
-
-    Only the bounded sample of ids and labels is broadcast; texts aren't shuffled.
+    """text and label (0/1) of about ``sample`` labelled training rows, chosen by a hash of doc_id, at most twice as many
+    (a doc_id may be repeated). Only the bounded sample of ids and labels is broadcast; other texts aren't shuffled.
     """
-    named = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isin(0, 1) & training)
+    named = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isin(0, 1) & training).distinct()
     share = min(1.0, sample / max(1, named.count()))
     chosen = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
+    return docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label").limit(2 * sample)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, mod: int = 3, held: int = 1) -> Classifier:
