@@ -132,9 +132,8 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 def with_probe(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """All conversations, and conversation -1 whose texts hold the template's own control strings."""
-    probe = spark.createDataFrame(
-        [(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string"
-    )
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(PROBE).alias("text"))
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
 
 

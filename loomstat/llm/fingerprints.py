@@ -52,9 +52,9 @@ def fingerprint_column(texts: pd.Series) -> pd.Series:
 
 
 def exact_classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """doc_id, class_doc_id: the least doc_id among documents with the same canonical bytes.
+    """``prints`` and class_doc_id: the least doc_id among documents with the same canonical bytes.
 
-    ``prints`` (doc_id, fingerprint) must be a written table of all ``docs``. Texts of fingerprints that occur once
+    ``prints`` (doc_id, fingerprint and any other columns) must be a written table of all ``docs``. Texts of fingerprints that occur once
     aren't shuffled: a bitmap over fingerprint prefixes (16 bits a document at first, 32 MB at most; false positives
     cost time, never results) selects the rows whose bytes are compared.
     """
@@ -96,17 +96,18 @@ def exact_classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
     )
     plain = written(texts.where("texts = 1 and rows > 1").select("fingerprint", "class_doc_id"), "fingerprint-classes")
     classed = prints.join(growing(plain), "fingerprint", "left").select(
-        "doc_id", "fingerprint", F.coalesce("class_doc_id", "doc_id").alias("class_doc_id")
+        prints["*"], F.coalesce("class_doc_id", "doc_id").alias("class_doc_id")
     )
     collided = texts.where("texts > 1").select("fingerprint")
     if collided.isEmpty():
-        return classed.select("doc_id", "class_doc_id")
+        return classed
     # Equal digests of different bytes: members of those few buckets are classed by their bytes.
     members = rows.join(collided, "fingerprint", "left_semi").groupBy("fingerprint", "form", "doc_id").count()
     own = members.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("own_class"))
-    exact = members.join(own, ["fingerprint", "form"]).select("doc_id", "own_class").distinct()
-    return classed.join(exact, classed.doc_id.eqNullSafe(exact.doc_id), "left").select(
-        classed.doc_id, F.coalesce("own_class", "class_doc_id").alias("class_doc_id")
+    exact = members.join(own, ["fingerprint", "form"]).groupBy("fingerprint", "doc_id").agg(F.min("own_class").alias("own_class"))
+    same = classed.doc_id.eqNullSafe(exact.doc_id) & (classed.fingerprint == exact.fingerprint)
+    return classed.join(exact, same, "left").select(
+        *[classed[c] for c in prints.columns], F.coalesce("own_class", "class_doc_id").alias("class_doc_id")
     )
 
 
@@ -223,11 +224,4 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """The comparison of neighbours, and each document's class by canonical bytes."""
-    compared = written(compare_neighbours(docs), "fingerprint-compared")
-    classes = exact_classes(docs, compared.select("doc_id", "fingerprint")).groupBy("doc_id").agg(
-        F.min("class_doc_id").alias("class_doc_id")
-    )
-    classes = written(classes, "fingerprint-class-rows")
-    return compared.join(growing(classes), compared.doc_id.eqNullSafe(classes.doc_id), "left").select(
-        compared["*"], classes.class_doc_id
-    )
+    return exact_classes(docs, written(compare_neighbours(docs), "fingerprint-compared"))
