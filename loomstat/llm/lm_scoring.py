@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from loomstat.llm.shared import growing, remainder, small_batches, text_of, written
 
 LONGEST = 16  # bytes of a piece; longer ones of the vocabulary are left out
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIER = 0x9E3779B97F4A7C15
 LN10 = math.log(10)
 
 
@@ -46,10 +46,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def _hash_step(hashes: np.ndarray, following: np.ndarray) -> np.ndarray:
-    return (hashes + following + np.uint64(1)) * _MULTIPLIER
-
-
 class Pieces:
     """The vocabulary's pieces, and where they occur in words. A word starts with a space (as the vocabulary marks it);
     its first piece begins with that space, the others don't."""
@@ -58,15 +54,16 @@ class Pieces:
         self.names = list(pieces)
         self.scores = np.array([pieces[p] for p in self.names])
         self.opens = np.array([p[:1] == b" " for p in self.names])
-        hashes = np.zeros(len(self.names), np.uint64)
-        with np.errstate(over="ignore"):
-            for k, piece in enumerate(self.names):
-                h = np.zeros(1, np.uint64)
-                for b in piece:
-                    h = _hash_step(h, np.uint64(b))
-                hashes[k] = h[0]
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
+        # Hashes of all beginnings of pieces, and which piece each one is, if any.
+        beginnings: dict[int, int] = {}
+        for k, piece in enumerate(self.names):
+            h = 0
+            for place, b in enumerate(piece):
+                h = (h + b + 1) * _MULTIPLIER & (1 << 64) - 1
+                last = place == len(piece) - 1
+                beginnings[h] = k if last else beginnings.get(h, -1)
+        self.hashes = np.array(sorted(beginnings), np.uint64)
+        self.piece_of = np.array([beginnings[int(h)] for h in self.hashes])
 
     @classmethod
     def of_file(cls, path: str) -> Pieces:
@@ -90,17 +87,22 @@ class Pieces:
         """For each end, the (start, piece or -1) of its arcs. words: equally long, n x length, from the space on."""
         n, length = words.shape
         ends: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(length + 1)]
-        codes = words.astype(np.uint64)
+        codes = words.astype(np.uint64) + np.uint64(1)
         with np.errstate(over="ignore"):
             for start in range(length):
-                h = np.zeros(n, np.uint64)
+                rows, h = np.arange(n), np.zeros(n, np.uint64)
                 for end in range(start + 1, min(length, start + LONGEST) + 1):
-                    h = _hash_step(h, codes[:, end - 1])
-                    at = np.searchsorted(self.sorted, h)
-                    at[at == len(self.sorted)] = 0
-                    hit = self.sorted[at] == h
-                    if hit.any():
-                        ends[end].append((start, np.where(hit, self.order[at], -1)))
+                    h = (h + codes[rows, end - 1]) * np.uint64(_MULTIPLIER)
+                    at = np.searchsorted(self.hashes, h)
+                    at[at == len(self.hashes)] = 0
+                    begins = np.flatnonzero(self.hashes[at] == h)
+                    rows, h, found = rows[begins], h[begins], self.piece_of[at[begins]]
+                    if not len(rows):
+                        break
+                    if (found >= 0).any():
+                        piece = np.full(n, -1)
+                        piece[rows] = found
+                        ends[end].append((start, piece))
         return ends
 
 
@@ -203,7 +205,7 @@ def count_words(docs: DataFrame, groups: int, flush: int = 200_000) -> DataFrame
     return counted.groupBy("word").agg(*each)
 
 
-def fit_spellings(words: DataFrame, pieces: Pieces, classes: int, rounds: int = 3) -> list[Spelling]:
+def fit_spellings(words: DataFrame, pieces: Pieces, classes: int, rounds: int = 2) -> list[Spelling]:
     """Expectation maximisation over each class's distinct training words. A round sends one number a piece and class."""
     spark = words.sparkSession
     models = [Spelling.of_scores(pieces)] * classes
