@@ -9,18 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 64
+LEAST, MOST = 8, 256  # ranges of a column
 
 
-def ranged(df: DataFrame, keys: list[str], value: str, parts: int = PARTS) -> DataFrame:
+def parts_of(df: DataFrame) -> int:
+    """As many ranges as the cluster has shuffle partitions, within limits; results don't depend on it."""
+    return min(MOST, max(LEAST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def ranged(df: DataFrame, keys: list[str], value: str, parts: int | None = None) -> DataFrame:
     """``df`` and ``range_no``: the range of ``value`` within its keys. Equal values share a range."""
+    parts = parts or parts_of(df)
     shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
     bounds = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, shares, F.lit(1000))).alias("bounds"))
     number = F.size(F.filter("bounds", lambda b: b < F.col(value)))
     return df.join(bounds, keys).withColumn("range_no", F.coalesce(number, F.lit(0))).drop("bounds")
 
 
-def cumulated(df: DataFrame, keys: list[str], value: str, weights: list[str], parts: int = PARTS) -> DataFrame:
+def cumulated(df: DataFrame, keys: list[str], value: str, weights: list[str], parts: int | None = None) -> DataFrame:
     """``df`` (one row for each key and value) and, for each weight w, ``before_w``: the sum of w over smaller values."""
     dealt = ranged(df, keys, value, parts)
     sums = dealt.groupBy(*keys, "range_no").agg(*[F.sum(w).alias(f"sum_{w}") for w in weights])
