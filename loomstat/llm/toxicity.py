@@ -123,28 +123,37 @@ def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 500, l2: fl
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training, sample: int) -> DataFrame:
-    """text and label (0/1) of about ``sample`` labelled training rows, chosen by a hash of doc_id, at most twice as many
+    """doc_id, text and label (0/1) of about ``sample`` labelled training rows, chosen by a hash of doc_id, at most twice as many
     (a doc_id may be repeated). Only the bounded sample of ids and labels is broadcast; other texts aren't shuffled.
     """
     named = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isin(0, 1) & training).distinct()
     share = min(1.0, sample / max(1, named.count()))
     chosen = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label").limit(2 * sample)
+    return docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * sample)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, mod: int = 3, held: int = 1) -> Classifier:
+    """Features are found where the texts are; one task fits the bounded sample, and its weights are all that returns."""
     rows = labelled_sample(docs, labels, "toxic", remainder("doc_id", mod) != held, sample)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [grams(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f.tobytes() for f in found], pa.binary()), batch.column("label").cast(pa.int32())], ["grams", "label"]
-            )
-
-    got = rows.mapInArrow(extract, "grams binary, label int").toArrow()
-    features = [np.frombuffer(x, np.int32) for x in got.column("grams").to_pylist()]
-    return fit(features, got.column("label").to_numpy().astype(np.float64))
+            found = [grams(t).tobytes() for t in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "grams"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "grams")))]
+        found.sort()  # the same sums in whatever order the rows come
+        classifier = fit([np.frombuffer(g, np.int32) for _, _, g in found], np.array([float(y) for _, y, _ in found]))
+        weights = pa.array([classifier.weights.tobytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays([weights, pa.array([classifier.bias])], ["weights", "bias"])
+
+    features = rows.select("doc_id", "text", "label").mapInArrow(extract, "doc_id long, label int, grams binary")
+    got = features.repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    if got is None:  # no rows at all
+        return fit([], np.zeros(0))
+    return Classifier(np.frombuffer(bytes(got["weights"]), np.float32), got["bias"])
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
