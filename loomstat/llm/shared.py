@@ -29,10 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dir["dir"]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` into the shared folder and return the table read back: executors may be lost at any time."""
     path = f"{shared_dir(df.sparkSession)}/loomstat/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

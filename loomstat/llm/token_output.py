@@ -23,6 +23,8 @@ Defined results
 from __future__ import annotations
 
 import array
+import contextlib
+import gc
 import os
 import re
 import struct
@@ -125,15 +127,37 @@ class Shard:
         low = int.from_bytes(self.lower[first : last + 1].tobytes(), "little") >> (start % 8)
         return (high << self.width) | (low & ((1 << self.width) - 1))
 
+    def offsets(self) -> np.ndarray:
+        """All positions at once, for reading a shard from end to end."""
+        n = self.docs + 1
+        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[:n]
+        positions = (ones - np.arange(n)) << self.width
+        if self.width:
+            bits = np.unpackbits(self.lower, bitorder="little")[: n * self.width].reshape(n, self.width)
+            positions |= bits.astype(np.int64) @ (1 << np.arange(self.width))
+        return positions
+
     def document(self, i: int) -> np.ndarray:
-        a, b = self.offset(i), self.offset(i + 1)
+        return self.ids_between(self.offset(i), self.offset(i + 1))
+
+    def ids_between(self, a: int, b: int) -> np.ndarray:
         return np.frombuffer(self.body[a * self.id_bytes : b * self.id_bytes].tobytes(), f"<u{self.id_bytes}")
 
 
-_DOUBLE_SPACE = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Known(dict):
+    """Ids of pieces; an unknown piece is noted and gives None."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.unknown: set[str] = set()
+
+    def __missing__(self, piece: str) -> None:
+        self.unknown.add(piece)
+
+
 class Encoder:
     """Encodes whole texts with a byte-level BPE file of the tokenizers library, and remembers pieces.
 
@@ -142,13 +166,20 @@ class Encoder:
     ``ids`` gives little-endian bytes.
     """
 
-    def __init__(self, path: str, end_id: int = 0, cached: int = 300_000) -> None:
+    def __init__(self, path: str, end_id: int = 0, cached: int = 650_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.end = end_id.to_bytes(self.id_bytes, "little")
-        self.cached, self.cache, self.older = cached, {}, {}
+        self.cached = cached
+        names = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
+        self.opens = np.zeros(names[-1][1] + 1, bool)  # whether a token begins with a space
+        self.opens[[k for name, k in names if name[0] == "\u0120"]] = True
+        self.spaced, self.older = _Known(), {}  # parts after a space, which belongs to them
+        self.starts: dict[str, bytes] = {}  # parts at the start of a text
+
+    FIRST = " "  # stands for the start of a text; no part that is looked up holds a space alone
 
     @classmethod
     def of_worker(cls, path: str, end_id: int) -> Encoder:
@@ -158,32 +189,80 @@ class Encoder:
             _encoders[path, end_id] = cls(path, end_id)
         return _encoders[path, end_id]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for text in texts:
-            parts = text.split(" ")
-            if len(parts) > 1:
-                # a space at either end of the text, or beside other white space, stays in place
-                if parts[-1] == "" or parts[0] == "" or _DOUBLE_SPACE.search(text):
-                    parts = _LONE_SPACE.split(text)
-                parts = [parts[0], *[" " + p for p in parts[1:]]]
-            cut.append(parts)
-        if len(self.cache) > self.cached:
-            self.older, self.cache = self.cache, {}
-        missing = set().union(*cut).difference(self.cache)
-        for piece in missing.intersection(self.older):
-            self.cache[piece] = self.older[piece]
-        missing = list(missing.difference(self.older))
-        kind = "H" if self.id_bytes == 2 else "I"
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        kind, out = "H" if self.id_bytes == 2 else "I", []
+        for at in range(0, len(pieces), 20_000):
+            for found in self.tokenizer.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False):
                 ids = array.array(kind, found.ids)
                 if sys.byteorder == "big":
                     ids.byteswap()
-                self.cache[piece] = ids.tobytes()
-        look = self.cache.__getitem__
-        return [b"".join(map(look, parts)) + self.end for parts in cut]
+                out.append(ids.tobytes())
+        return out
+
+    def _encode_spaced(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts after a space each. They're encoded in runs, cut before tokens that begin with the space."""
+        found: list[bytes] = []
+        for at in range(0, len(parts), 2_000):
+            some = parts[at : at + 2_000]
+            run = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(run.ids, f"<u{self.id_bytes}")
+            starts = (np.flatnonzero(self.opens[ids]) * self.id_bytes).tolist()
+            if len(starts) != len(some):
+                found += self._encode([" " + p for p in some])
+                continue
+            raw = ids.tobytes()
+            found += [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
+        return found
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles are made here, and millions of short lists
+        try:
+            return self._ids(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        if len(self.spaced) > self.cached:
+            self.older, self.spaced = self.spaced, _Known()
+        if len(self.starts) > self.cached // 8:
+            self.starts.clear()
+        known, cut = self.spaced, []
+        look = known.__getitem__
+        for text in texts:
+            parts = text.split(" ")
+            first, parts[0] = parts[0], self.FIRST
+            cut.append((first, parts, list(map(look, parts))))
+        known.unknown.discard(self.FIRST)
+        # A part that is remembered has no white space at its ends. Where an unknown one has, or is empty, the text is
+        # cut only at spaces between other characters, and what is left is encoded whole.
+        odd = {part for part in known.unknown if not part or part.strip() != part}
+        known.unknown.difference_update(odd)
+        new = list(known.unknown)
+        known.unknown.clear()
+        if self.older:
+            for part in new:
+                if (ids := self.older.get(part)) is not None:
+                    known[part] = ids
+            new = [part for part in new if part not in known]
+        known.update(zip(new, self._encode_spaced(new)))
+        firsts = list({first for first, _, _ in cut if first not in self.starts})
+        self.starts.update(zip(firsts, self._encode(firsts)))
+        out = []
+        for text, (first, parts, found) in zip(texts, cut):
+            if len(parts) > 1 and (not first or first[-1].isspace() or (odd and not odd.isdisjoint(parts))):
+                first, *rest = _LONE_SPACE.split(text)
+                found = self._encode([first, *[" " + part for part in rest]])
+            else:
+                found[0], at = self.starts[first], 0
+                with contextlib.suppress(ValueError):  # when there's no other
+                    while True:
+                        at = found.index(None, at)
+                        found[at] = look(parts[at])
+            out.append(b"".join(found) + self.end)
+        known.unknown.clear()
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -195,11 +274,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_id
     """
     spark = docs.sparkSession
     small_batches(spark)
-    ordered = (
-        docs.select("doc_id", text_of("text").alias("text"))
-        .repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    )
+    rows = docs.select("doc_id", text_of("text").alias("text"))
+    ordered = in_ranges(rows, "doc_id", partitions(spark)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -224,9 +300,19 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_id
         if held:
             yield image()
 
-    return written(
-        ordered.mapInArrow(encode, "part int, before long, n_ids long, doc_ids array<long>, image binary"), "token-shards"
-    )
+    schema = "part int, before long, n_ids long, doc_ids array<long>, image binary"
+    return written(ordered.mapInArrow(encode, schema), "token-shards", compression="none")
+
+
+def in_ranges(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """``rows`` in n partitions, each a range of a number column in ascending order, nulls in the first. Only that column is
+    read to find the ranges (n - 1 approximate quantiles); equal numbers share a partition."""
+    shares = F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
+    found = rows.agg(F.percentile_approx(column, shares, F.lit(10_000)).alias("b")).first()["b"] or []
+    bounds = F.array(*[F.lit(b).cast("long") for b in sorted(set(found))]) if found else F.array().cast("array<long>")
+    number = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(column))), F.lit(0))
+    number = F.when(F.col(column).isNull(), 0).otherwise(F.least(number, F.lit(n - 1)))
+    return rows.repartitionById(n, number.cast("int"))
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -241,13 +327,15 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for k, part in enumerate(batch.column("part").to_pylist()):
                 shard = Shard(batch.column("image")[k].as_buffer())
-                offsets = [shard.offset(i) for i in range(shard.docs + 1)]
+                offsets = shard.offsets().tolist()
                 before = starts[part] + shard.first
                 rows = {
                     "doc_id": batch.column("doc_ids")[k].as_py(),
                     "start": [before + x for x in offsets[:-1]],
                     "n_tokens": np.diff(offsets),
-                    "ids_crc32": [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in range(shard.docs)],
+                    "ids_crc32": [
+                        zlib.crc32(shard.ids_between(a, b).astype("<u4").tobytes()) for a, b in zip(offsets, offsets[1:])
+                    ],
                 }
                 yield pa.RecordBatch.from_pydict(rows, schema=_ROWS)
 

@@ -28,6 +28,7 @@ def test_elias_fano_round_trip(lengths):
     shard = to.Shard(to.shard_bytes(np.array(lengths, np.int64), ids.astype("<u2").tobytes(), 2, 17))
     want = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
     assert [shard.offset(i) for i in range(len(lengths) + 1)] == want.tolist()
+    assert shard.offsets().tolist() == want.tolist()
     assert shard.first == 17
     for i in range(len(lengths)):
         assert shard.document(i).tolist() == ids[want[i] : want[i + 1]].tolist()
