@@ -239,13 +239,10 @@ class Encoder:
         # cut only at spaces between other characters, and what is left is encoded whole.
         odd = {part for part in known.unknown if not part or part.strip() != part}
         known.unknown.difference_update(odd)
-        new = list(known.unknown)
+        again = self.older.keys() & known.unknown
+        known.update((part, self.older[part]) for part in again)
+        new = list(known.unknown - again)
         known.unknown.clear()
-        if self.older:
-            for part in new:
-                if (ids := self.older.get(part)) is not None:
-                    known[part] = ids
-            new = [part for part in new if part not in known]
         known.update(zip(new, self._encode_spaced(new)))
         firsts = list({first for first, _, _ in cut if first not in self.starts})
         self.starts.update(zip(firsts, self._encode(firsts)))
