@@ -54,22 +54,11 @@ def with_chunks(docs: DataFrame, divisor: int) -> DataFrame:
     return held.withColumn("__ld_chunks", F.transform("__ld_cuts", chunk)).drop("__ld_lines", "__ld_cuts")
 
 
-def drop_repeated_chunks(docs: DataFrame, divisor: int = 3, min_lines: int = 2) -> DataFrame:
-    """All rows and columns of ``docs`` with repeated chunks removed from ``text``, and ``lines_removed``."""
-    base = docs.withColumn("__ld_text", F.xxhash64("text"))
-    occurrences = (
-        with_chunks(base.select("doc_id", "text", "__ld_text"), divisor)
-        .select("doc_id", "__ld_text", F.posexplode("__ld_chunks").alias("at", "chunk"))
-        .where(F.col("chunk.n_lines") >= min_lines)
-        .select(
-            "doc_id",
-            "__ld_text",
-            "at",
-            F.xxhash64("chunk.text").alias("h1"),
-            F.xxhash64(F.lit(1), "chunk.text").alias("h2"),
-            F.col("chunk.text").alias("chunk"),
-        )
-    )
+def removed_places(occurrences: DataFrame) -> DataFrame:
+    """``__ld_removed``, the places of chunks that occur before, of each text that has any. ``occurrences``: doc_id,
+    __ld_text, at, chunk."""
+    hashes = F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(1), "chunk").alias("h2")
+    occurrences = occurrences.select("doc_id", "__ld_text", "at", *hashes, "chunk")
     place = F.struct("doc_id", "__ld_text", "at")
     by_bytes = occurrences.groupBy("h1", "h2", "chunk").agg(
         F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")
@@ -83,16 +72,32 @@ def drop_repeated_chunks(docs: DataFrame, divisor: int = 3, min_lines: int = 2)
         "line-chunks",
     )
     places = written(occurrences.select("doc_id", "__ld_text", "at", "h1", "h2"), "line-places")
-    removed = written(
+    return written(
         places.join(growing(repeated), ["h1", "h2"])
         .where(~place.eqNullSafe(F.col("first")))
         .groupBy("doc_id", "__ld_text")
         .agg(F.collect_set("at").alias("__ld_removed")),
         "line-removed",
     )
+
+
+def marked(base: DataFrame, removed: DataFrame) -> DataFrame:
+    """All rows of ``base`` and their ``__ld_removed``, null where nothing is to be removed."""
     marks = removed.select(F.col("doc_id").alias("__ld_id"), F.col("__ld_text").alias("__ld_key"), "__ld_removed")
     same = F.col("doc_id").eqNullSafe(F.col("__ld_id")) & (F.col("__ld_text") == F.col("__ld_key"))
-    joined = base.join(growing(marks), same, "left")
+    return base.join(growing(marks), same, "left")
+
+
+def drop_repeated_chunks(docs: DataFrame, divisor: int = 3, min_lines: int = 2) -> DataFrame:
+    """All rows and columns of ``docs`` with repeated chunks removed from ``text``, and ``lines_removed``."""
+    base = docs.withColumn("__ld_text", F.xxhash64("text"))
+    occurrences = (
+        with_chunks(base.select("doc_id", "text", "__ld_text"), divisor)
+        .select("doc_id", "__ld_text", F.posexplode("__ld_chunks").alias("at", "chunk"))
+        .where(F.col("chunk.n_lines") >= min_lines)
+        .select("doc_id", "__ld_text", "at", F.col("chunk.text").alias("chunk"))
+    )
+    joined = marked(base, removed_places(occurrences))
     # Only texts with something to remove are cut again.
     unmarked = F.col("__ld_removed").isNull()
     joined = joined.withColumn("__ld_whole", F.col("text")).withColumn("text", F.when(~unmarked, F.col("text")))
@@ -108,6 +113,36 @@ def drop_repeated_chunks(docs: DataFrame, divisor: int = 3, min_lines: int = 2)
     )
 
 
+def drop_repeated_passages(docs: DataFrame, more_than: int = 50) -> DataFrame:
+    """All rows and columns of ``docs`` with whole repeated passages removed from ``text``, and ``lines_removed``.
+
+    A line is repeated if it and a line beside it stand together, in this order, at an earlier place too. Every longest run
+    of repeated lines that holds over ``more_than`` words is removed, from its first line to its last; so each removed line
+    stays at an earlier place. Here the compared chunks are all pairs of consecutive lines.
+    """
+    base = docs.withColumn("__ld_text", F.xxhash64("text"))
+    lines = base.select("doc_id", "__ld_text", F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
+    pair = lambda line, at: F.concat(line, F.lit("\n"), F.get("lines", at + 1))
+    pairs = lines.select("doc_id", "__ld_text", F.posexplode(F.transform("lines", pair)).alias("at", "chunk"))
+    joined = marked(base, removed_places(pairs.where("chunk is not null")))
+    # Pairs that overlap or touch are one run: from its first pair's place to the line after its last pair.
+    joined = joined.withColumn("__ld_pairs", F.explode(F.array(F.sort_array("__ld_removed"))))
+    near = lambda a, b: F.coalesce(a - b <= 2, F.lit(False))
+    starts = F.filter("__ld_pairs", lambda a, k: ~near(a, F.get("__ld_pairs", k - 1)))
+    stops = F.filter("__ld_pairs", lambda a, k: ~near(F.get("__ld_pairs", k + 1), a))
+    joined = joined.withColumn("__ld_lines", F.explode(F.array(F.when(F.col("__ld_pairs").isNotNull(), F.split("text", "\n", -1)))))
+    joined = joined.withColumn("__ld_runs", F.explode(F.array(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("a"), (b + 2).alias("b"))))))
+    words = lambda run: F.regexp_count(F.array_join(F.slice("__ld_lines", run["a"] + 1, run["b"] - run["a"]), "\n"), F.lit(r"\S+"))
+    joined = joined.withColumn("__ld_runs", F.explode(F.array(F.filter("__ld_runs", lambda run: words(run) > more_than))))
+    stays = lambda line, at: ~F.exists("__ld_runs", lambda run: (run["a"] <= at) & (at < run["b"]))
+    text = F.when(F.size("__ld_runs") > 0, F.array_join(F.filter("__ld_lines", stays), "\n")).otherwise(F.col("text"))
+    count = F.aggregate("__ld_runs", F.lit(0), lambda n, run: n + run["b"] - run["a"])
+    return joined.select(
+        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.coalesce(count, F.lit(0)).cast("long").alias("lines_removed"),
+    )
+
+
 ORACLE = """
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i

@@ -86,3 +86,68 @@ def test_repeated_rows_and_empty(spark, documents):
     inside = "\n".join([text] * 3)
     got = line_dedup.drop_repeated_chunks(documents([(1, inside)])).first()
     assert (got["text"], got["lines_removed"]) == brute([(1, inside)])[(1, inside)]
+
+
+def words(lines):
+    return sum(len(x.split()) for x in lines)
+
+
+def brute_passages(rows):
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        lines = text.split("\n")
+        pairs = list(zip(lines, lines[1:]))
+        before = []
+        for p in pairs:
+            before.append(p in seen)
+            seen.add(p)
+        again = [any(before[max(0, k - 1) : k + 1]) for k in range(len(lines))]
+        kept, held = [], []
+        for line, repeated in [*zip(lines, again), (None, False)]:
+            if repeated:
+                held.append(line)
+                continue
+            kept += held if words(held) <= 50 else []
+            kept, held = [*kept, line], []
+        kept.pop()
+        out[doc_id] = ("\n".join(kept), len(lines) - len(kept))
+    return out
+
+
+def planted():
+    """Per passage of 2 to 8 lines with over 50 words, three documents with own lines around it; and one of few words."""
+    rows, passages = [], []
+    for n in range(2, 9):
+        for copy in range(4):
+            passages.append([f"p{n} {copy} {k} " + " ".join(f"w{j}" for j in range(50 // n)) for k in range(n)])
+    for k, passage in enumerate([*passages, ["few words", "in these lines"]]):
+        for d in range(3):
+            own = [f"own {k} {d} {j}" for j in range(4)]
+            rows.append((3 * k + d, "\n".join([*own[:2], *passage, *own[2:]])))
+    return rows, passages
+
+
+def test_whole_passages_are_removed(spark, documents):
+    rows, passages = planted()
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_passages(documents(rows)).collect()}
+    texts = dict(rows)
+    for k, passage in enumerate(passages):
+        assert words(passage) > 50
+        assert got[3 * k]["text"] == texts[3 * k]
+        for d in (1, 2):
+            own = "\n".join(f"own {k} {d} {j}" for j in range(4))
+            assert (got[3 * k + d]["text"], got[3 * k + d]["lines_removed"]) == (own, len(passage))
+    few = 3 * len(passages)
+    assert all(got[few + d]["text"] == texts[few + d] and not got[few + d]["lines_removed"] for d in range(3))
+
+
+def test_passages_match_brute_force(spark, documents, odd):
+    rows = [*corpus(7), *((k + 100, t) for k, t in planted()[0])]
+    got = line_dedup.drop_repeated_passages(documents(rows)).collect()
+    assert {r["doc_id"]: (r["text"], r["lines_removed"]) for r in got} == brute_passages(rows)
+    df = documents([*odd, (20, odd[7][1])], extra=True)
+    out = line_dedup.drop_repeated_passages(df)
+    assert out.columns == [*df.columns, "lines_removed"]
+    assert len(out.collect()) == len(odd) + 1
+    assert next(r for r in out.collect() if r["doc_id"] == 1)["text"] is None
+    assert line_dedup.drop_repeated_passages(documents([])).count() == 0
