@@ -135,8 +135,8 @@ class Spelling:
     def log_probabilities(self, arcs: list, n: int) -> np.ndarray:
         return self.forward(arcs, n)[-1] + self.stop
 
-    def expected(self, arcs: list, n: int, counts: np.ndarray) -> None:
-        """Adds to ``counts`` how often each piece is expected in the words' segmentations."""
+    def expected(self, arcs: list, n: int, counts: np.ndarray) -> float:
+        """Adds to ``counts`` how often each piece is expected in the words' segmentations; the words' log-likelihood."""
         alpha = self.forward(arcs, n)
         beta = np.full(alpha.shape, -np.inf)
         beta[-1] = 0
@@ -151,6 +151,7 @@ class Spelling:
                 beta[start][hit] = np.logaddexp(beta[start][hit], through)
         if found:
             counts += np.bincount(np.concatenate(found), np.concatenate(shares), len(counts))
+        return float((alpha[-1] + self.stop).sum())
 
 
 def _by_length(words: list[bytes], cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -205,42 +206,48 @@ def count_words(docs: DataFrame, groups: int, flush: int = 200_000) -> DataFrame
     return counted.groupBy("word").agg(*each)
 
 
-def fit_spellings(words: DataFrame, pieces: Pieces, classes: int, rounds: int = 2) -> list[Spelling]:
-    """Expectation maximisation over each class's distinct training words. A round sends one number a piece and class."""
+def fit_spellings(words: DataFrame, pieces: Pieces, classes: int, rise: float = 0.01) -> list[Spelling]:
+    """Expectation maximisation over each class's distinct training words. A round sends one number a piece and class.
+    A class is done once a round finds its words' mean log-likelihood risen by less than ``rise`` since the last one."""
     spark = words.sparkSession
     models = [Spelling.of_scores(pieces)] * classes
     n_pieces = len(pieces.names)
     shared_pieces = spark.sparkContext.broadcast(pieces)
-    for _ in range(rounds):
+    rising, reached = list(range(classes)), [-math.inf] * classes
+    while rising:
         shared = spark.sparkContext.broadcast(models)  # of the vocabulary's size
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            counts, stops = np.zeros((classes, n_pieces)), np.zeros(classes)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, rising=rising) -> Iterator[pa.RecordBatch]:
+            counts, stops, likelihood = np.zeros((classes, n_pieces)), np.zeros(classes), np.zeros(classes)
             for group in _in_groups(batches):
                 some = group.column("word").to_pylist()
                 used = np.stack([group.column(f"c{k}").to_numpy() > 0 for k in range(classes)])
                 stops += used.sum(axis=1)
-                for k in range(classes):
+                for k in rising:
                     of_class = [some[i] for i in np.flatnonzero(used[k])]
                     for _, array in _by_length(of_class):
                         arcs = shared_pieces.value.arcs(array)
-                        shared.value[k].expected(arcs, len(array), counts[k])
-            for k in range(classes):
+                        likelihood[k] += shared.value[k].expected(arcs, len(array), counts[k])
+            for k in rising:
                 held = np.flatnonzero(counts[k])
-                columns = {"group": [k] * (len(held) + 1), "piece": np.append(held, -1), "n": np.append(counts[k][held], stops[k])}
+                n = np.append(counts[k][held], [stops[k], likelihood[k]])
+                columns = {"group": [k] * len(n), "piece": np.append(held, [-1, -2]), "n": n}
                 yield pa.RecordBatch.from_pydict(columns)
 
         each = words.select("word", *[f"c{k}" for k in range(classes)]).mapInArrow(run, "group long, piece long, n double")
         got = each.groupBy("group", "piece").agg(F.sum("n").alias("n")).toArrow()
         group, piece, n = (got.column(c).to_numpy() for c in ("group", "piece", "n"))
-        models = list(models)
-        for k in range(classes):
-            stops = float(n[(group == k) & (piece == -1)].sum())
+        models, tried, rising = list(models), rising, []
+        for k in tried:
+            stops, likelihood = (float(n[(group == k) & (piece == x)].sum()) for x in (-1, -2))
             if stops:
                 counts = np.zeros(n_pieces)
                 mine = (group == k) & (piece >= 0)
                 counts[piece[mine]] = n[mine]
                 models[k] = Spelling.of_counts(pieces, counts + 0.01, stops)
+                if likelihood / stops - reached[k] >= rise:
+                    rising.append(k)
+                reached[k] = likelihood / stops
     return models
 
 

@@ -107,3 +107,23 @@ def test_no_training_rows_and_empty(spark, documents):
     got = lm.score_texts(documents([(k, "a b") for k in held]), PATH).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 and math.isfinite(r["score"]) for r in got)
     assert lm.score_texts(documents([]), PATH).count() == 0
+
+
+def test_fitting_goes_on_until_the_likelihood_stops_rising(spark, pieces):
+    rng = random.Random(4)
+    parts = ["an", "der", "ing", "st", "o", "ure", "tha", "li", "e", "ment"]
+    words = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(1, 5))).encode() for _ in range(400)})
+    table = spark.createDataFrame([(bytearray(w), 1, 0) for w in words], "word binary, c0 long, c1 long")
+    fitted, untouched = lm.fit_spellings(table, pieces, 2)
+    assert (untouched.weights == lm.Spelling.of_scores(pieces).weights).all()
+
+    def round_of(model):
+        counts, total = np.zeros(len(pieces.names)), 0.0
+        for _, array in lm._by_length(words):
+            arcs = pieces.arcs(array)
+            total += model.log_probabilities(arcs, len(array)).sum()
+            model.expected(arcs, len(array), counts)
+        return lm.Spelling.of_counts(pieces, counts + 0.01, float(len(words))), total / len(words)
+
+    further, reached = round_of(fitted)
+    assert round_of(further)[1] - reached < 0.01
