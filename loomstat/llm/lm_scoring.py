@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 
 from loomstat.llm.shared import growing, remainder, small_batches, text_of, written
 
-LONGEST = 16  # bytes of a piece; longer ones of the vocabulary are left out
 _MULTIPLIER = 0x9E3779B97F4A7C15
 LN10 = math.log(10)
 
@@ -52,6 +51,7 @@ class Pieces:
 
     def __init__(self, pieces: dict[bytes, float]) -> None:
         self.names = list(pieces)
+        self.longest = max(map(len, self.names), default=0)
         self.scores = np.array([pieces[p] for p in self.names])
         self.opens = np.array([p[:1] == b" " for p in self.names])
         # Hashes of all beginnings of pieces, and which piece each one is, if any.
@@ -76,7 +76,7 @@ class Pieces:
             if model.is_control(k) or model.is_unknown(k) or model.is_byte(k):
                 continue
             piece = model.id_to_piece(k).replace("\u2581", " ").encode()
-            if len(piece) <= LONGEST and b" " not in piece[1:]:
+            if b" " not in piece[1:]:
                 found.setdefault(piece, 1 / (1 - min(0.0, model.get_score(k))))
         least = min(found.values(), default=1.0)
         for b in range(256):
@@ -91,7 +91,7 @@ class Pieces:
         with np.errstate(over="ignore"):
             for start in range(length):
                 rows, h = np.arange(n), np.zeros(n, np.uint64)
-                for end in range(start + 1, min(length, start + LONGEST) + 1):
+                for end in range(start + 1, min(length, start + self.longest) + 1):
                     h = (h + codes[rows, end - 1]) * np.uint64(_MULTIPLIER)
                     at = np.searchsorted(self.hashes, h)
                     at[at == len(self.hashes)] = 0

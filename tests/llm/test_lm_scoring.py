@@ -127,3 +127,18 @@ def test_fitting_goes_on_until_the_likelihood_stops_rising(spark, pieces):
 
     further, reached = round_of(fitted)
     assert round_of(further)[1] - reached < 0.01
+
+
+def test_the_longest_pieces_are_arcs(pieces):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    ordinary = (k for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)))
+    names = {model.id_to_piece(k).replace("▁", " ").encode() for k in ordinary}
+    assert {p for p in names if b" " not in p[1:]} <= set(pieces.names)
+    number = {p: k for k, p in enumerate(pieces.names)}
+    long = [p for p in pieces.names if len(p) > 16]
+    assert len(long) == 20
+    for piece in long:
+        arcs = pieces.arcs(np.frombuffer(piece, np.uint8)[None])
+        assert (0, number[piece]) in [(start, int(found[0])) for start, found in arcs[-1]]
