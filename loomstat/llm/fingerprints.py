@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstat.llm.shared import growing, partitions, small_batches, text_of, written
+from loomstat.llm.shared import arrow_batches, growing, partitions, text_of, written
 
 
 def canonical(text: str) -> str:
@@ -74,7 +74,7 @@ def exact_classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
     def maybe_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = shared.value
-        for batch in batches:
+        for batch in arrow_batches(batches):
             forms = [canonical(t) for t in batch.column("text").to_pylist()]
             found = [digest(f) for f in forms]
             slots = np.array([int(p[:7], 16) for p in found], np.int64) & ((1 << bits) - 1)
@@ -156,7 +156,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, held = TaskContext.get().partitionId(), None
-    for batch in batches:
+    for batch in arrow_batches(batches):
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         if not ids:
             continue
@@ -190,7 +190,6 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     the first of the next range in a second, small step: two rows a range.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     ordered = (
         docs.select("doc_id", text_of("text").alias("text"))
         .repartitionByRange(partitions(spark), F.col("doc_id").desc())

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.shared import growing, remainder, small_batches, text_of, written
+from loomstat.llm.shared import arrow_batches, growing, remainder, text_of, written
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 LN10 = math.log(10)
@@ -290,7 +290,6 @@ def score_texts(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     is_held = remainder("doc_id", mod) == held
     number, n_classes = _class_column(docs, column, is_held, classes)
     rows = docs.select(

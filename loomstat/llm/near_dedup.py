@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.shared import growing, partitions, small_batches, text_of, written
+from loomstat.llm.shared import arrow_batches, growing, partitions, text_of, written
 
 WORDS, BANDS, ROWS, THRESHOLD = 5, 12, 4, 0.8
 DF_BITS, CHUNK_BITS = 20, 14
@@ -361,7 +361,6 @@ def connected(links: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_doc_id, class_rows of every row, in a written table."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select("doc_id", text_of("text").alias("text"))
     table_, _ = document_frequencies(rows)
     idf = spark.sparkContext.broadcast(table_)  # 2**DF_BITS numbers

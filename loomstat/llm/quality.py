@@ -10,7 +10,8 @@ The network is fitted on a bounded sample of the labelled training rows: about `
 
 Defined results
 * null text: empty; texts shorter than a filter are padded with zero bytes, so an empty text has a score
-* null labels are ignored; several labels for a document are as many training rows
+* null labels are ignored; several labels for a document are as many training rows; of several texts of a doc_id the least
+  is the training row
 * no labels, or labels of one kind: a constant score, the smoothed share of good labels
 * repeated rows: equal scores. Empty table: no rows. Other columns are ignored
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.shared import remainder, small_batches, text_of
+from loomstat.llm.shared import arrow_batches, remainder, sampled, text_of
 
 WIDTH, FILTERS, BLOCK = 5, 16, 256
 SPAN = 16  # blocks convolved at a time, so that responses stay in cache
@@ -58,7 +59,17 @@ class Network:
         out[places:] = -np.inf
         return out
 
-    def block_maxima(self, data: np.ndarray, places: int) -> np.ndarray:
+    def block_maxima(self, data: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+        """Largest response of each filter in each block, and where; SPAN blocks are in memory at a time."""
+        tops, at_places, step = [], [], SPAN * BLOCK
+        for at in range(0, len(data) - WIDTH + 1, step):
+            part = self.responses(data[at : at + step + WIDTH - 1], max(0, places - at)).reshape(-1, BLOCK, FILTERS)
+            best = part.argmax(axis=1)
+            tops.append(np.take_along_axis(part, best[:, None], axis=1)[:, 0])
+            at_places.append(best + at + np.arange(len(best))[:, None] * BLOCK)
+        return np.concatenate(tops), np.concatenate(at_places)
+
+    def maxima(self, data: np.ndarray, places: int) -> np.ndarray:
         blocks, step = [], SPAN * BLOCK
         for at in range(0, len(data) - WIDTH + 1, step):
             part = self.responses(data[at : at + step + WIDTH - 1], max(0, places - at))
@@ -68,7 +79,7 @@ class Network:
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.empty(len(texts))
         for k, text in enumerate(texts):
-            blocks = self.block_maxima(*padded(text))
+            blocks = self.maxima(*padded(text))
             chunks = np.maximum(blocks[:-1], blocks[1:]) if len(blocks) > 1 else blocks
             chunks = np.maximum(chunks + self.offset, 0)
             pooled = np.stack([chunks.mean(axis=0), chunks.max(axis=0)])
@@ -79,12 +90,8 @@ class Network:
 def _gradient(net: Network, text: str, label: float, grads: list[np.ndarray]) -> None:
     """Adds one text's gradient to those of filters, offset, combine and bias."""
     data, places = padded(text)
-    blocks = (len(data) - WIDTH + 1) // BLOCK
-    r = net.responses(data, places).reshape(blocks, BLOCK, FILTERS)
-    best = r.argmax(axis=1)
-    top = np.take_along_axis(r, best[:, None], axis=1)[:, 0]
-    best += np.arange(blocks)[:, None] * BLOCK
-    if blocks > 1:
+    top, best = net.block_maxima(data, places)
+    if len(top) > 1:
         later = top[1:] > top[:-1]
         top, best = np.where(later, top[1:], top[:-1]), np.where(later, best[1:], best[:-1])
     chunks = np.maximum(top + net.offset, 0)
@@ -138,16 +145,22 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 32,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, mod: int = 4, held: int = 2) -> Network:
-    """Only the bounded sample of ids and labels is broadcast, and only the sample's texts (twice ``sample`` at most, for a
-    doc_id may be repeated) reach the driver."""
-    named = labels.select("doc_id", F.col("quality").alias("label")).where(
-        F.col("quality").isin(0, 1) & (remainder("doc_id", mod) != held)
-    ).distinct()
-    share = min(1.0, sample / max(1, named.count()))
-    chosen = named.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "text", "label").limit(2 * sample).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(got.column("text").to_pylist(), got.column("label").to_numpy().astype(np.float64))
+    """One task fits the bounded sample of whole texts; its weights are all that returns."""
+    rows = sampled(docs, labels, "quality", remainder("doc_id", mod) != held, sample, 6)
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")))]
+        found.sort()
+        net = fit([t for _, _, t in found], np.array([y for _, y, _ in found], np.float64))
+        values = [pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (net.filters, net.offset, net.combine)]
+        yield pa.RecordBatch.from_arrays([*values, pa.array([float(net.bias)])], ["filters", "offset", "combine", "bias"])
+
+    got = rows.repartition(1).mapInArrow(learn, "filters binary, offset binary, combine binary, bias double").first()
+    if got is None:  # no rows at all
+        return fit([], np.zeros(0))
+    filters, offset, combine = (np.frombuffer(bytes(got[c]), "<f4") for c in ("filters", "offset", "combine"))
+    return Network(filters.reshape(WIDTH, 256, FILTERS), offset, combine.reshape(2, FILTERS), got["bias"])
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -156,11 +169,10 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 3000, mod: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, in one pass without a shuffle."""
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, labels, sample, mod, held))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             scores = model.value.scores(batch.column("text").to_pylist())
             columns = [batch.column("doc_id"), batch.column("held_out"), scores, (scores >= THRESHOLD).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=SCORED)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.shared import partitions, small_batches, text_of, written
+from loomstat.llm.shared import arrow_batches, partitions, text_of, written
 
 MAGIC = b"LTOK1\0\0\0"
 _SHARD = pa.schema(
@@ -270,7 +270,6 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_id
     doc_ids of its documents, image. Texts are shuffled once, into ranges; each range is encoded as it streams by.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select("doc_id", text_of("text").alias("text"))
     ordered = in_ranges(rows, "doc_id", partitions(spark)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 

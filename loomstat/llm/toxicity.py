@@ -1,22 +1,27 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-Features are the distinct n-grams (3 to 5 bytes of the lower-cased text in UTF-8, runs of ASCII white space as one space,
-a space at either end), hashed into ``2**BITS`` slots; a feature is present or not. A present feature counts
-r = log of the ratio of its smoothed shares in toxic and in other training texts; a logistic regression on these scaled
-features gives the score. Whole texts are read for training and scoring.
+Features are the distinct n-grams (3 to 5 code points of the lower-cased text, runs of white space as one space, a space at
+either end), hashed into ``2**BITS`` slots; a feature is present or not. A present feature counts r = log of the ratio of
+the smoothed shares of toxic and of other training texts that have it; the ratios of a text are scaled to length 1, and a
+logistic regression with an L2 penalty on these features gives its margin. Whole texts are read for training and scoring.
+
+The penalty is chosen among ``COSTS`` by the log-loss of ``FOLDS``-fold cross-validation inside the training rows (equal
+texts share a fold, ratios are counted anew in each), and the margins of rows left out calibrate the score: a sigmoid of
+slope and offset by maximum likelihood (Platt). No feature is cut off.
 
 The classifier is fitted on a bounded sample of the labelled training rows: about ``sample`` of them (documented limit,
 5000), chosen by a hash of doc_id. Inputs of a score: the text alone.
 
 Defined results
-* null text: empty; an empty text has few features and scores near the intercept
-* several labels for a document: its rows are all training rows; null labels are ignored
-* no labels, or labels of one kind: a constant score, the smoothed share of toxic labels
+* null text: empty; an empty text has the score of a text without features
+* several texts of a doc_id: the one of least features in byte order is the training row; several labels: a row each
+* null labels are ignored. No labels, or labels of one kind: a constant score, the smoothed share of toxic labels
 * repeated rows: equal scores. Empty table: no rows. Other columns are ignored
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,34 +30,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.shared import remainder, small_batches, text_of
+from loomstat.llm.shared import arrow_batches, remainder, sampled, text_of
 
 BITS = 18
 SIZES = (3, 4, 5)
 THRESHOLD = 0.7
+COSTS, FOLDS, PASSES = (1.0, 10.0, 100.0), 5, 2
+
+SEGMENT = 1 << 18  # code points of a text that are hashed at a time
 
 
-SEGMENT = 1 << 20  # bytes of a text that are hashed at a time
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le"), np.uint32)
 
 
 def grams(text: str) -> np.ndarray:
     """Distinct hashed n-grams of a whole text, in ascending order."""
-    raw = np.frombuffer(b" " + b" ".join(text.lower().encode().split()) + b" ", np.uint8)
-    if len(raw) <= SEGMENT:
-        return np.unique(_slots(raw))
-    parts = [np.unique(_slots(raw[at : at + SEGMENT + max(SIZES) - 1])) for at in range(0, len(raw), SEGMENT)]
+    points = code_points(text)
+    if len(points) <= SEGMENT:
+        return np.unique(_slots(points))
+    parts = [np.unique(_slots(points[at : at + SEGMENT + max(SIZES) - 1])) for at in range(0, len(points), SEGMENT)]
     return np.unique(np.concatenate(parts))
 
 
-def _slots(raw: np.ndarray) -> np.ndarray:
-    """Hashed n-grams of bytes, in place order, repeats included."""
-    data = raw.astype(np.uint32)
+def _slots(points: np.ndarray) -> np.ndarray:
+    """Hashed n-grams of code points, in place order, repeats included."""
     found = []
-    rolling = data.copy()
+    rolling = points
     for n in range(2, max(SIZES) + 1):
-        if len(data) < n:
+        if len(points) < n:
             break
-        rolling = rolling[: len(data) - n + 1] * np.uint32(0x01000193) + data[n - 1 :]
+        rolling = rolling[: len(points) - n + 1] * np.uint32(0x01000193) + points[n - 1 :]
         if n in SIZES:
             mixed = (rolling ^ (rolling >> np.uint32(15))) * np.uint32(0x85EBCA6B)
             salt = np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)
@@ -62,98 +70,156 @@ def _slots(raw: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Classifier:
-    weights: np.ndarray  # per slot: ratio times coefficient
+    weights: np.ndarray  # slots x 2: ratio times coefficient, and the ratio's square
     bias: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
         seen = np.zeros(1 << BITS, np.int32)
         out = np.empty(len(texts))
         for k, text in enumerate(texts):
-            if len(text) > SEGMENT // 4:
+            points = code_points(text)
+            if len(points) > SEGMENT:
                 distinct = grams(text)
             else:
-                raw = b" " + b" ".join(text.lower().encode().split()) + b" "
-                slots = _slots(np.frombuffer(raw, np.uint8))
+                slots = _slots(points)
                 order = np.arange(len(slots), dtype=np.int32)
                 seen[slots] = order
                 distinct = slots[seen[slots] == order]  # the last of each slot
-            total = float(self.weights[distinct].sum(dtype=np.float64))
-            out[k] = total / np.sqrt(max(1, len(distinct))) + self.bias
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-
-
-def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 500, l2: float = 1e-8, least: float = 1.5) -> Classifier:
-    """Naive Bayes ratios, then a logistic regression on ratio-scaled, length-normed features by Adam, full batch.
-    Slots whose ratio is under ``least`` either way say too little about a label and get no weight."""
-    n = len(labels)
-    positive = float(labels.sum())
-    prior = np.log((positive + 1) / (n - positive + 1))
-    if not 0 < positive < n:
-        return Classifier(np.zeros(1 << BITS, np.float32), float(prior))
-    size = 1 << BITS
-    lengths = np.array([len(f) for f in features])
-    flat = np.concatenate(features)
-    y = np.repeat(labels, lengths).astype(bool)
-    p = np.bincount(flat[y], minlength=size) + 1.0
-    q = np.bincount(flat[~y], minlength=size) + 1.0
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    norm = 1 / np.sqrt(np.maximum(1, lengths))
-    telling = np.abs(ratio) >= least
-    features = [f[telling[f]] for f in features]
-    lengths = np.array([len(f) for f in features])
-    flat = np.concatenate(features)
-    values = (ratio[flat] * np.repeat(norm, lengths)).astype(np.float32)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    full = lengths > 0
-    w, b = np.zeros(size), prior
-    m1, m2, n1, n2 = np.zeros(size), np.zeros(size), 0.0, 0.0
-    weight = np.where(labels == 1, n / (2 * positive), n / (2 * (n - positive)))
-    for step in range(1, steps + 1):
-        z = np.full(n, b)
-        z[full] += np.add.reduceat(values * w[flat], starts[full])
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        gradient = np.bincount(flat, values * np.repeat(error, lengths), size) + l2 * w
-        m1, m2 = 0.9 * m1 + 0.1 * gradient, 0.999 * m2 + 0.001 * gradient**2
-        g = error.sum()
-        n1, n2 = 0.9 * n1 + 0.1 * g, 0.999 * n2 + 0.001 * g * g
-        c1, c2, rate = 1 - 0.9**step, 1 - 0.999**step, 0.05
-        w -= rate * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-9)
-        b -= rate * (n1 / c1) / (np.sqrt(n2 / c2) + 1e-9)
-    return Classifier((w * ratio).astype(np.float32), float(b))
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training, sample: int) -> DataFrame:
-    """doc_id, text and label (0/1) of about ``sample`` labelled training rows, chosen by a hash of doc_id, at most twice as many
-    (a doc_id may be repeated). Only the bounded sample of ids and labels is broadcast; other texts aren't shuffled.
-    """
-    named = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isin(0, 1) & training).distinct()
-    share = min(1.0, sample / max(1, named.count()))
-    chosen = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * sample)
+            total, square = self.weights[distinct].sum(axis=0, dtype=np.float64)
+            out[k] = total / max(1e-9, math.sqrt(square)) + self.bias
+        return _sigmoid(out)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def log_ratios(features: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Of each slot, the log of the ratio of the shares of toxic and of other texts that have it, one added to both counts
+    of each share."""
+    flat, toxic = np.concatenate(features), np.repeat(labels == 1, [len(f) for f in features])
+    bad, good = (labels == 1).sum(), (labels != 1).sum()
+    p = (np.bincount(flat[toxic], minlength=1 << BITS) + 1) / (bad + 2)
+    q = (np.bincount(flat[~toxic], minlength=1 << BITS) + 1) / (good + 2)
+    return np.log(p / q)
+
+
+class Regression:
+    """Logistic regression on scaled ratios, with weight vector w and bias b: minimises |w, b|^2 / 2 + cost * the sum of losses
+    by dual coordinate ascent. Each later call of ``fit`` starts from the last one's solution, scaled."""
+
+    def __init__(self, features: list[np.ndarray], labels: np.ndarray) -> None:
+        self.features, self.signs = [f.astype(np.intp) for f in features], np.where(labels == 1, 1.0, -1.0).tolist()
+        self.ratios = log_ratios(features, labels)
+        self.values = [self.scaled(f) for f in features]
+        self.norms = [float(v @ v) + 1 for v in self.values]
+        self.w, self.b, self.cost = np.zeros(1 << BITS), 0.0, 0.0
+        self.duals = [0.0] * len(features)
+
+    def scaled(self, feature: np.ndarray) -> np.ndarray:
+        r = self.ratios[feature]
+        return r / max(1e-9, math.sqrt(float(r @ r)))
+
+    def fit(self, cost: float, passes: int = PASSES) -> Regression:
+        if self.cost:
+            grow = cost / self.cost
+            self.w, self.b, self.duals = self.w * grow, self.b * grow, [d * grow for d in self.duals]
+        self.cost, rng, log = cost, np.random.default_rng(0), math.log
+        for _ in range(passes):
+            for i in rng.permutation(len(self.features)).tolist():
+                f, v, s, n = self.features[i], self.values[i], self.signs[i], self.norms[i]
+                old = self.duals[i]
+                there = self.w.take(f)
+                z = s * (float(there @ v) + self.b)
+                a = min(max(old, 1e-6 * cost), cost * (1 - 1e-6))
+                for _ in range(4):  # Newton steps for one dual variable, which stays inside (0, cost)
+                    step = (z + n * (a - old) + log(a / (cost - a))) / (n + cost / (a * (cost - a)))
+                    a = min(max(a - step, a * 0.1), cost - (cost - a) * 0.1)
+                self.duals[i] = a
+                change = (a - old) * s
+                if abs(change) > 1e-3 * cost:
+                    self.w[f] = there + change * v
+                    self.b += change
+                else:
+                    self.duals[i] = old
+        return self
+
+    def margins(self, features: list[np.ndarray]) -> np.ndarray:
+        return np.array([float(self.w[f] @ self.scaled(f)) + self.b for f in features])
+
+
+def calibration(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the sigmoid that gives the labels' probability from margins, by Newton's method; targets are
+    smoothed by one row of each kind, the slope is 0 at least."""
+    good, bad = (labels != 1).sum(), (labels == 1).sum()
+    target = np.where(labels == 1, (bad + 1) / (bad + 2), 1 / (good + 2))
+    x = np.stack([margins, np.ones(len(margins))])
+    loss = lambda w: float(np.logaddexp(0, w @ x).sum() - (target * (w @ x)).sum())
+    w = np.array([0.0, math.log((bad + 1) / (good + 1))])
+    for _ in range(50):
+        p = _sigmoid(w @ x)
+        move = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-9 * np.eye(2), x @ (target - p))
+        share = 1.0
+        while share > 1e-6 and loss(w + share * move) > loss(w):
+            share /= 2
+        w = w + share * move
+        if np.abs(share * move).max() < 1e-6:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, math.log((bad + 1) / (good + 1)))
+
+
+def fit(features: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Classifier:
+    """Of distinct n-grams, labels (0 or 1) and cross-validation folds (0 to FOLDS - 1) of the training rows."""
+    bad, good = float((labels == 1).sum()), float((labels != 1).sum())
+    prior = math.log((bad + 1) / (good + 1))
+    if not bad or not good:
+        return Classifier(np.zeros((1 << BITS, 2), np.float32), prior)
+    left_out = {c: np.full(len(labels), np.nan) for c in COSTS}
+    for fold in range(FOLDS):
+        used, out = np.flatnonzero(folds != fold), np.flatnonzero(folds == fold)
+        if not len(out) or len(set(labels[used].tolist())) < 2:
+            continue
+        model = Regression([features[i] for i in used], labels[used])
+        for cost in COSTS:
+            left_out[cost][out] = model.fit(cost).margins([features[i] for i in out])
+    best = (math.inf, COSTS[0], 1.0, 0.0)
+    for cost, margins in left_out.items():
+        known = ~np.isnan(margins)
+        if known.any() and len(set(labels[known].tolist())) == 2:
+            slope, offset = calibration(margins[known], labels[known])
+            p = _sigmoid(slope * margins[known] + offset)
+            best = min(best, (-float(np.log(np.where(labels[known] == 1, p, 1 - p)).mean()), cost, slope, offset))
+    _, cost, slope, offset = best
+    model = Regression(features, labels)
+    for c in COSTS[: COSTS.index(cost) + 1]:
+        model.fit(c)
+    columns = slope * model.w * model.ratios, model.ratios**2
+    return Classifier(np.stack(columns, axis=1).astype(np.float32), slope * model.b + offset)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, mod: int = 3, held: int = 1) -> Classifier:
     """Features are found where the texts are; one task fits the bounded sample, and its weights are all that returns."""
-    rows = labelled_sample(docs, labels, "toxic", remainder("doc_id", mod) != held, sample)
+    rows = sampled(docs, labels, "toxic", remainder("doc_id", mod) != held, sample)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             found = [grams(t).tobytes() for t in batch.column("text").to_pylist()]
             columns = [batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "grams"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "grams")))]
+        found = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("fold", "doc_id", "label", "grams")))]
         found.sort()  # the same sums in whatever order the rows come
-        classifier = fit([np.frombuffer(g, np.int32) for _, _, g in found], np.array([float(y) for _, y, _ in found]))
-        weights = pa.array([classifier.weights.tobytes()], pa.binary())
-        yield pa.RecordBatch.from_arrays([weights, pa.array([classifier.bias])], ["weights", "bias"])
+        folds, _, marks, features = zip(*found) if found else ([], [], [], [])
+        got = fit([np.frombuffer(g, np.int32) for g in features], np.array(marks, float), np.array(folds))
+        yield pa.RecordBatch.from_arrays([pa.array([got.weights.tobytes()], pa.binary()), pa.array([got.bias])], ["weights", "bias"])
 
-    features = rows.select("doc_id", "text", "label").mapInArrow(extract, "doc_id long, label int, grams binary")
+    features = rows.mapInArrow(extract, "doc_id long, label int, grams binary").groupBy("doc_id", "label").agg(F.min("grams").alias("grams"))
+    features = features.withColumn("fold", F.pmod(F.xxhash64("grams"), F.lit(FOLDS)).cast("int"))
     got = features.repartition(1).mapInArrow(learn, "weights binary, bias double").first()
     if got is None:  # no rows at all
-        return fit([], np.zeros(0))
-    return Classifier(np.frombuffer(bytes(got["weights"]), np.float32), got["bias"])
+        return fit([], np.zeros(0), np.zeros(0))
+    return Classifier(np.frombuffer(bytes(got["weights"]), np.float32).reshape(-1, 2), got["bias"])
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -164,7 +230,7 @@ def score(docs: DataFrame, classifier: Classifier, mod: int = 3, held: int = 1)
     model = docs.sparkSession.sparkContext.broadcast(classifier)  # of a fixed size, 2**BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             scores = model.value.scores(batch.column("text").to_pylist())
             columns = [batch.column("doc_id"), batch.column("held_out"), scores, (scores >= THRESHOLD).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=SCORED)
@@ -174,19 +240,17 @@ def score(docs: DataFrame, classifier: Classifier, mod: int = 3, held: int = 1)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> DataFrame:
-    small_batches(docs.sparkSession)
     return score(docs, train(docs, labels, sample))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> DataFrame:
     """The rows of ``docs`` whose text scores under the threshold, all columns and types as they are."""
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, labels, sample))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(model.value.scores(texts) < THRESHOLD))
 

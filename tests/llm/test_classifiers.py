@@ -1,10 +1,11 @@
+import os
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from loomstat.llm import quality, toxicity
+from loomstat.llm import quality, queries, shared, toxicity
 
 WORDS = "the of and river stone cloud paper green walk over under light seven table window garden music bread".split()
 
@@ -114,3 +115,110 @@ def test_odd_rows(spark, documents, odd, module):
         got = module.classify(documents(odd, extra=True), labels).collect()
         assert len(got) == len(odd) and all(0 <= r["score"] <= 1 for r in got)
     assert module.classify(documents([]), one).count() == 0
+
+
+def test_grams_are_of_code_points(monkeypatch):
+    text = "Ünï 中文字  x\n"
+    plain = f" {' '.join(text.lower().split())} "
+    want = {plain[i : i + n] for n in (3, 4, 5) for i in range(len(plain) - n + 1)}
+    assert len(toxicity.grams(text)) == len(want)  # no two of these few collide
+    long = " ".join(WORDS) + " ñandú " * 50
+    whole = toxicity.grams(long).tolist()
+    monkeypatch.setattr(toxicity, "SEGMENT", 32)
+    assert toxicity.grams(long).tolist() == whole
+    rng = np.random.default_rng(1)
+    model = toxicity.Classifier(rng.normal(1, 0.3, (1 << toxicity.BITS, 2)).astype(np.float32), 0.1)
+    apart = model.scores([long])
+    monkeypatch.setattr(toxicity, "SEGMENT", 1 << 18)
+    assert apart == pytest.approx(model.scores([long]))
+
+
+def test_scores_are_scaled_by_log_ratios():
+    """Against a plain form: document shares by sets, a regression by gradient descent, no hashing."""
+    texts = [" ".join(w) for w in (["ab cd", "xyz ab"], ["ab"], ["xyz cd"], ["cd cd"], ["xyz"], ["ab xyz cd"])]
+    labels = np.array([1.0, 0, 1, 0, 1, 0])
+
+    def sets(text):
+        plain = f" {text} "
+        return {plain[i : i + n] for n in (3, 4, 5) for i in range(len(plain) - n + 1)}
+
+    every = sorted(set().union(*map(sets, texts)))
+    ratio = {}
+    for g in every:
+        p = (sum(g in sets(t) for t, y in zip(texts, labels) if y) + 1) / (labels.sum() + 2)
+        q = (sum(g in sets(t) for t, y in zip(texts, labels) if not y) + 1) / ((1 - labels).sum() + 2)
+        ratio[g] = np.log(p / q)
+    rows = np.array([[ratio[g] * (g in sets(t)) for g in every] for t in texts])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = np.c_[rows, np.ones(len(texts))]
+    w, signs = np.zeros(rows.shape[1]), 2 * labels - 1
+    for _ in range(20_000):
+        z = rows @ w
+        w -= 0.02 * (w - 3.0 * rows.T @ (signs / (1 + np.exp(signs * z))))
+    model = toxicity.Regression([toxicity.grams(t) for t in texts], labels).fit(3.0, passes=300)
+    assert model.margins([toxicity.grams(t) for t in texts]) == pytest.approx(rows @ w, abs=0.02)
+
+
+def test_calibration_gives_shares():
+    rng = np.random.default_rng(2)
+    margins = rng.normal(0, 3, 20_000)
+    labels = (rng.random(20_000) < 1 / (1 + np.exp(-(0.5 * margins - 1)))).astype(float)
+    assert toxicity.calibration(margins, labels) == pytest.approx((0.5, -1), abs=0.08)
+    assert toxicity.calibration(-margins, labels)[0] == 0
+
+
+def test_samples_are_bounded_and_even(spark, documents):
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "1 AS toxic")
+    docs = labels.selectExpr("doc_id", "'x' AS text")
+    got = shared.sampled(docs, labels, "toxic", shared.remainder("doc_id", 3) != 1, 1000).count()
+    assert 850 < got < 1150
+    tiny = shared.sampled(docs, labels, "toxic", shared.remainder("doc_id", 3) != 1, 1)  # a share of under a millionth of 2**64
+    assert tiny.count() <= 6
+    again = docs.union(docs).withColumn("label", docs.doc_id)
+    twice = shared.sampled(again, labels.union(labels), "toxic", shared.remainder("doc_id", 3) != 1, 1000)
+    assert twice.count() == 2 * got
+
+
+def test_a_repeated_id_trains_once(spark, documents):
+    rows, labels = made(200, 5, insult)
+    once = toxicity.classify(*frames(spark, documents, rows, labels))
+    rows += [(0, rows[0][1])] * 300
+    again = toxicity.classify(*frames(spark, documents, rows, labels))
+    score = lambda df: {r["doc_id"]: r["score"] for r in df.collect()}
+    assert score(again) == pytest.approx(score(once))
+
+
+def test_quality_pools_whole_documents():
+    """Against a plain form: every chunk of two blocks, responses position by position."""
+    rng = np.random.default_rng(0)
+    net = quality.fit(["x"], np.array([1.0]))
+    net.filters[:] = rng.normal(0, 0.3, net.filters.shape)
+    net.offset[:], net.combine[:], net.bias = rng.normal(0, 0.1, quality.FILTERS), rng.normal(0, 1, net.combine.shape), 0.2
+    for text in ("", "ab", "word " * 40, "some Ünïcödé text " * 700):
+        raw = text.encode().ljust(quality.WIDTH, b"\0")
+        places = [sum(net.filters[j][raw[i + j]] for j in range(quality.WIDTH)) for i in range(len(raw) - quality.WIDTH + 1)]
+        blocks = [np.max(places[i : i + quality.BLOCK], axis=0) for i in range(0, len(places), quality.BLOCK)]
+        chunks = [np.maximum(a, b) for a, b in zip(blocks, blocks[1:])] or blocks
+        chunks = np.maximum(np.array(chunks) + net.offset, 0)
+        z = float((np.stack([chunks.mean(axis=0), chunks.max(axis=0)]) * net.combine).sum()) + net.bias
+        assert net.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)
+
+
+def auc(scores, labels):
+    better = sum((a > b) + (a == b) / 2 for a, y in zip(scores, labels) if y for b, x in zip(scores, labels) if not x)
+    return better / (sum(labels) * (len(labels) - sum(labels)))
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
+@pytest.mark.parametrize("query, label, least_auc, least_recall", [("op3_toxicity", "toxic", 0.93, 0.5), ("op6_quality", "quality", 0.98, 0.9)])
+def test_held_out_rows_of_real_tables(spark, query, label, least_auc, least_recall):
+    truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{TABLES}/labels.parquet").collect()}
+    held = [r for r in queries.QUERIES[query](spark, TABLES).where("held_out").collect() if r["doc_id"] in truth]
+    labels = [truth[r["doc_id"]] for r in held]
+    assert auc([r["score"] for r in held], labels) >= least_auc
+    found = [r["predicted"] for r in held]
+    hits = sum(a and b for a, b in zip(found, labels))
+    assert hits >= least_recall * sum(labels) and hits >= 0.85 * sum(found)
