@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstat.llm import decontamination, line_dedup, near_dedup, packing, toxicity
+from loomstat.llm.queries import tokenizer
 from loomstat.llm.shared import table, written
 
 
@@ -40,8 +41,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document: its bin and place."""
-    return packing.pack(docs)
+    """One row for each piece of a document: its bin and place. Lengths are those of token output. Near-dedup has left one
+    document of each class, so classes are no clusters any more; equal texts still are."""
+    return packing.pack(docs, tokenizer())
 
 
 STAGES = [

@@ -1,13 +1,14 @@
 """Best-fit packing: conflict-constrained best-fit decreasing over bins that carry source and cluster bitmaps.
 
-Documents are dealt by a hash of id and text into packing shards of a few thousand documents (a fixed parameter, so the
-number of shards grows with the input); a shard is packed by itself. Only ids, lengths and two keys are shuffled,
-never texts, so a hot source or cluster spreads evenly over all shards. In a shard the open bins are kept in an
-ordered list by residual; for each piece the successor search starts at the tightest bin that has room and continues
+A document's length is its number of token ids, as token output writes them, its end included. Documents are cut into
+pieces and pieces dealt by a hash into packing shards of about ``shard_pieces`` (so the number of shards grows with the
+input, and one long document fills many); a shard is packed by itself. Only ids, lengths and two keys are shuffled, never
+texts, so a hot source or cluster spreads evenly over all shards. In a shard the open bins are kept in an ordered list by
+residual; for each piece the successor search starts at the tightest bin that has room and continues
 until one is compatible: none of its pieces may be of the same source or of the same duplicate cluster.
 
 Defined results
-* a document's length is its number of whitespace-separated words plus one end token; null text: empty, length 1
+* null text: empty, length 1, the end
 * a document longer than ``capacity`` is cut into pieces of ``capacity`` and a rest; pieces of a document never share
   a bin. Every token of every document is packed exactly once; nothing is dropped
 * null source: no source conflict. Empty texts form no duplicate cluster
@@ -18,21 +19,43 @@ Defined results
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.shared import text_of
+from loomstat.llm.shared import arrow_batches, text_of, written
+from loomstat.llm.token_output import Encoder
 
 SCHEMA = "doc_id long, piece int, n_tokens int, bin_id long, bin_offset int"
+_MEASURED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("cluster", pa.string()), ("row_key", pa.int64()), ("length", pa.int64())])
 
 
-def token_count(text: Column) -> Column:
-    """Whitespace-separated words, and one end token."""
-    words = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))
-    return (words + 1).cast("long")
+def measured(docs: DataFrame, tokenizer_path: str, cluster: Column | None) -> DataFrame:
+    """doc_id, source, cluster, row_key (a hash of id and text), length of every row, in a written table without texts."""
+    own = cluster is None
+    rows = docs.select(
+        F.col("doc_id").cast("long"), F.col("source").cast("string"), (F.lit(None) if own else cluster).cast("string").alias("cluster"),
+        F.xxhash64("doc_id", text_of("text")).alias("row_key"), text_of("text").alias("text"),
+    )
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of_worker(tokenizer_path, 0)
+        for batch in arrow_batches(batches):
+            texts = batch.column("text").to_pylist()
+            clusters = batch.column("cluster")
+            if own:
+                folded = [" ".join(t.lower().split()) for t in texts]
+                clusters = pa.array([xxhash.xxh3_128_hexdigest(t.encode()) if t else None for t in folded], pa.string())
+            columns = [batch.column("doc_id"), batch.column("source"), clusters, batch.column("row_key"), pa.array(encoder.ids(texts)[1])]
+            yield pa.RecordBatch.from_arrays(columns, schema=_MEASURED)
+
+    schema = "doc_id long, source string, cluster string, row_key long, length long"
+    return written(rows.mapInArrow(measure, schema), "packing-lengths")
 
 
 def pack_bins(
@@ -79,25 +102,15 @@ def _codes(values: pd.Series, repeated_only: bool) -> np.ndarray:
     return codes
 
 
-def pack(
-    docs: DataFrame, capacity: int = 2048, shard_docs: int = 2048, cluster: Column | None = None
-) -> DataFrame:
-    """One row per piece: doc_id, piece, n_tokens, bin_id, bin_offset. ``cluster``: the duplicate cluster of a row;
-    by default that of equal texts after case and whitespace folding."""
-    text = text_of("text")
-    folded = F.lower(F.regexp_replace(F.trim(text), "\\s+", " "))
-    key = F.when(folded != "", F.xxhash64(folded)) if cluster is None else cluster
-    n_shards = max(1, -(-docs.count() // shard_docs))
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, shard_pieces: int = 2048, cluster: Column | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, n_tokens, bin_id, bin_offset. ``cluster``: the duplicate cluster of a row, such as
+    the class of near-dedup; by default that of equal texts after case and whitespace folding."""
+    rows = measured(docs, tokenizer_path, cluster)
+    last = F.floor((F.col("length") - 1) / capacity).cast("int")  # number of the last piece
+    n_shards = max(1, -(-(rows.agg(F.sum(last + 1)).first()[0] or 0) // shard_pieces))
     pieces = (
-        docs.select(
-            "doc_id",
-            "source",
-            token_count(text).alias("length"),
-            key.cast("string").alias("cluster"),
-            F.xxhash64("doc_id", text).alias("row_key"),
-        )
-        .withColumn("shard", F.pmod(F.xxhash64("row_key"), F.lit(n_shards)))
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("length") - 1) / capacity).cast("int"))))
+        rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+        .withColumn("shard", F.pmod(F.xxhash64("row_key", "piece"), F.lit(n_shards)))
         .withColumn("n_tokens", F.least(F.lit(capacity), F.col("length") - F.col("piece") * capacity).cast("int"))
         .withColumn("cluster", F.coalesce("cluster", F.when(F.col("length") > capacity, F.col("row_key").cast("string"))))
     )

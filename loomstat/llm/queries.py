@@ -10,6 +10,13 @@ from loomstat.llm import chat, decontamination, fingerprints, line_dedup, lm_sco
 from loomstat.llm.shared import table
 
 
+def tokenizer() -> str:
+    """The file that token ids, and lengths in token ids, come from."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
     return chat.digests(chat.format_chat(turns))
@@ -38,10 +45,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return token_output.read_shards(token_output.write_shards(table(spark, sf_dir, "documents"), path))
+    return token_output.read_shards(token_output.write_shards(table(spark, sf_dir, "documents"), tokenizer()))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,7 +1,8 @@
-import re
 from collections import defaultdict
 
-from loomstat.llm import packing
+from tokenizers import Tokenizer
+
+from loomstat.llm import packing, queries
 
 
 def brute(pieces, capacity):
@@ -34,15 +35,17 @@ def test_best_fit_equals_brute_force():
 def test_all_tokens_once_and_no_conflicts(spark, documents, odd):
     rows = [*odd, *((k, "word " * (k * 7 % 90), "en", f"s{k % 4}") for k in range(20, 200)), (300, "long " * 1000, "en", None)]
     df = documents(rows, extra=True)
-    got = packing.pack(df, capacity=100, shard_docs=40).collect()
+    tokenizer = Tokenizer.from_file(queries.tokenizer())
+    got = packing.pack(df, queries.tokenizer(), capacity=100, shard_pieces=40).collect()
     by_bin, by_doc = defaultdict(list), defaultdict(int)
     for r in got:
         by_bin[r["bin_id"]].append(r)
         by_doc[r["doc_id"]] += r["n_tokens"]
     want = defaultdict(int)
     for r in rows:
-        want[r[0]] += len([w for w in (r[1] or "").replace(" ", "_").replace("　", "_").split()]) + 1
-    assert by_doc == want and by_doc[300] == 1001 and by_doc[1] == 1
+        want[r[0]] += len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1
+    assert by_doc == want and by_doc[300] > 1000 and by_doc[1] == 1
+    assert len({r["bin_id"] >> 32 for r in got if r["doc_id"] == 300}) > 2  # a long document fills many shards
     source = {r[0]: (r[3] if len(r) > 3 else "src0") for r in rows}
     for members in by_bin.values():
         members.sort(key=lambda r: r["bin_offset"])
@@ -55,4 +58,15 @@ def test_all_tokens_once_and_no_conflicts(spark, documents, odd):
 
 
 def test_empty(spark, documents):
-    assert packing.pack(documents([])).count() == 0
+    assert packing.pack(documents([]), queries.tokenizer()).count() == 0
+
+
+def test_given_clusters_never_share_a_bin(spark, documents):
+    from pyspark.sql import functions as F
+
+    df = documents([(k, f"text {k}", "en", None) for k in range(60)]).withColumn("class_doc_id", F.col("doc_id") % 5)
+    got = packing.pack(df, queries.tokenizer(), cluster=F.col("class_doc_id")).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["bin_id"]].append(r["doc_id"] % 5)
+    assert all(len(x) == len(set(x)) for x in bins.values()) and len(got) == 60 and len(bins) == 12

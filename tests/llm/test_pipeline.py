@@ -42,7 +42,7 @@ def test_stages_decide_as_their_operators(spark):
     bad = {r["doc_id"] for r in decontamination.find(docs, items).collect()}
     assert ids(stages["benchmark_decontamination"](spark, docs, SMALL)) == [k for k in ids(docs) if k not in bad]
     place = lambda df: sorted(map(tuple, df.collect()))
-    assert place(stages["best_fit_packing"](spark, docs, SMALL)) == place(packing.pack(docs))
+    assert place(stages["best_fit_packing"](spark, docs, SMALL)) == place(packing.pack(docs, queries.tokenizer()))
 
 
 def test_empty_and_odd_documents(spark, documents, odd, tmp_path):
