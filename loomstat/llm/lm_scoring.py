@@ -1,26 +1,26 @@
 """LM scoring: the marginal likelihood of a text over all segmentations of a subword lattice.
 
-Units of the lattice are the pieces of an existing public vocabulary (a SentencePiece file; nothing is added to it) and,
-as arcs over a whole word, the words of the training documents. An arc over a whole word w weighs (c - d) / N by its
-training count; the discounted mass d * V / N goes to the spelling of words, a unigram model over pieces whose weights
-start from the vocabulary's own scores (its ranks, as Zipf weights, for that file has no probabilities) and are fitted to
-the training words' spellings by expectation maximisation over all segmentations. A forward recursion in log space over
-the places of a word sums all segmentations.
-
-Weights are learned apart for each class of training documents: the ``classes`` commonest values of a column (``lang``),
-and all others together. The class of a text to be scored isn't looked at: its probability is the sum over all classes of
-their share of the training documents times the product over its words and its end. The weights of all words and of the
-end sum to 1 at most, so the score is the log10 of a probability.
+Units of the lattice are the pieces of an existing public vocabulary (a SentencePiece file; nothing is added to it, and no
+other arc is in the lattice). A text is a sequence of words and an end. A word is a space and its bytes; it opens with a
+piece that begins with the space and goes on with pieces that don't, until it stops. The probability of a word is the sum
+over all its segmentations of the products of their pieces' weights: a forward recursion in log space over the places of the
+word. The weights of opening pieces sum to 1, those of the other pieces and of the stop sum to 1, and either the end or a
+word comes next, so the score is the log10 of a probability, and all texts' probabilities sum to 1.
+
+Weights start from the vocabulary's own scores (its ranks, as Zipf weights, for that file has no probabilities) and are
+re-estimated from all training words, as often as they occur, by expectation maximisation over all segmentations, until a
+round raises the mean log-likelihood of a word by less than ``rise``.
 
 Scale: words are counted in bounded dictionaries in the workers and combined before the shuffle; the lattice is computed
-once a distinct word; the commonest words (``hot`` of them, a fixed bound) travel to the workers in one broadcast, and only
-the rest of each document's words is joined by word. So no word is hot in a shuffle.
+once a distinct word; the commonest words (``hot`` of them, none longer than ``LONG``: a fixed bound) travel to the workers in
+one broadcast, and only the rest of each document's words is joined by word. So no word is hot in a shuffle. Words longer than
+``LONG`` bytes, such as texts without spaces, are taken one by one, their arcs found some thousand places at a time.
 
 Defined results
 * only A-Z are lower-cased; words are runs of bytes other than space and 9 to 13; null text: empty, whose one token is the end
-* a null doc_id is a training row; repeated rows are scored alike and count as often as they occur; a null class is "other"
-* no training rows: every word is spelled, with half of the mass, and the end has the other half; empty table: no rows
-* words of any length are scored whole; other columns are ignored
+* a null doc_id is a training row; repeated rows are scored alike and count as often as they occur
+* no training rows: the vocabulary's own weights, and the end has half of the mass; empty table: no rows
+* words of any length are scored whole, over all segmentations; other columns are ignored
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from loomstat.llm.shared import arrow_batches, growing, remainder, text_of, writ
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 LN10 = math.log(10)
+LONG = 64  # bytes of a word
+SEGMENT = 8192  # places of a longer word whose arcs are found at a time
 
 
 def words_of(text: str) -> list[bytes]:
@@ -49,6 +51,8 @@ class Pieces:
     """The vocabulary's pieces, and where they occur in words. A word starts with a space (as the vocabulary marks it);
     its first piece begins with that space, the others don't."""
 
+    SLOTS = 19
+
     def __init__(self, pieces: dict[bytes, float]) -> None:
         self.names = list(pieces)
         self.longest = max(map(len, self.names), default=0)
@@ -62,8 +66,28 @@ class Pieces:
                 h = (h + b + 1) * _MULTIPLIER & (1 << 64) - 1
                 last = place == len(piece) - 1
                 beginnings[h] = k if last else beginnings.get(h, -1)
-        self.hashes = np.array(sorted(beginnings), np.uint64)
-        self.piece_of = np.array([beginnings[int(h)] for h in self.hashes])
+        self.hashes = np.array([0, *beginnings], np.uint64)  # 0 is no beginning's
+        self.piece_of = np.array([-1, *beginnings.values()])
+        # Tables by the first bits of a hash: what has no room in one is in the next.
+        self.tables, left = [], np.arange(1, len(self.hashes))
+        while len(left):
+            table = np.zeros(1 << self.SLOTS, np.int32)
+            slot = (self.hashes[left] >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+            table[slot] = left
+            self.tables.append(table)
+            left = left[table[slot] != left]
+
+    def look(self, h: np.ndarray) -> np.ndarray:
+        """Number of the beginning with each hash, 0 if there's none."""
+        slot = (h >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        out = self.tables[0][slot]
+        out[self.hashes[out] != h] = 0
+        for table in self.tables[1:]:
+            other = table[slot]
+            hit = np.flatnonzero(other)
+            hit = hit[self.hashes[other[hit]] == h[hit]]
+            out[hit] = other[hit]
+        return out
 
     @classmethod
     def of_file(cls, path: str) -> Pieces:
@@ -87,15 +111,14 @@ class Pieces:
         """For each end, the (start, piece or -1) of its arcs. words: equally long, n x length, from the space on."""
         n, length = words.shape
         ends: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(length + 1)]
-        codes = words.astype(np.uint64) + np.uint64(1)
+        codes = np.ascontiguousarray(words.T).astype(np.uint64) + np.uint64(1)
         with np.errstate(over="ignore"):
             for start in range(length):
                 rows, h = np.arange(n), np.zeros(n, np.uint64)
                 for end in range(start + 1, min(length, start + self.longest) + 1):
-                    h = (h + codes[rows, end - 1]) * np.uint64(_MULTIPLIER)
-                    at = np.searchsorted(self.hashes, h)
-                    at[at == len(self.hashes)] = 0
-                    begins = np.flatnonzero(self.hashes[at] == h)
+                    h = (h + codes[end - 1][rows]) * np.uint64(_MULTIPLIER)
+                    at = self.look(h)
+                    begins = np.flatnonzero(at)
                     rows, h, found = rows[begins], h[begins], self.piece_of[at[begins]]
                     if not len(rows):
                         break
@@ -105,22 +128,45 @@ class Pieces:
                         ends[end].append((start, piece))
         return ends
 
+    def segment(self, word: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and pieces of one word's arcs that end after ``first`` and not after ``last``, by end."""
+        rows = np.arange(max(0, first - self.longest + 1), last)
+        codes, h, found = word.astype(np.uint64) + np.uint64(1), np.zeros(len(rows), np.uint64), []
+        with np.errstate(over="ignore"):
+            for size in range(1, self.longest + 1):
+                h = (h + codes[rows + size - 1]) * np.uint64(_MULTIPLIER)
+                at = self.look(h)
+                begins = np.flatnonzero(at)
+                rows, h, piece = rows[begins], h[begins], self.piece_of[at[begins]]
+                here = (piece >= 0) & (rows + size > first)
+                found.append((rows[here], rows[here] + size, piece[here]))
+                inside = rows + size < last
+                rows, h = rows[inside], h[inside]
+        starts, ends, piece = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(ends, kind="stable")
+        return starts[order], ends[order], piece[order]
+
 
 @dataclass
-class Spelling:
-    """Log weights of the pieces (the last one, of no piece, is -inf) and of the end of a word."""
+class Model:
+    """Log weights of the pieces (the last one, of no piece, is -inf), of the stop of a word, and of the end of a text and of a
+    further word."""
 
     weights: np.ndarray
     stop: float
+    end: float = math.log(0.5)
+    more: float = math.log(0.5)
 
     @classmethod
-    def of_counts(cls, pieces: Pieces, counts: np.ndarray, stops: float) -> Spelling:
-        total = counts[~pieces.opens].sum() + stops
+    def of_counts(cls, pieces: Pieces, counts: np.ndarray, words: float, texts: float = 0.0) -> Model:
+        """``counts`` of pieces in ``words`` words of ``texts`` texts."""
+        total = counts[~pieces.opens].sum() + words
         weights = np.log(counts / np.where(pieces.opens, counts[pieces.opens].sum(), total))
-        return cls(np.append(weights, -np.inf), math.log(stops / total))
+        end = (texts + 0.5) / (texts + words + 1) if texts else 0.5
+        return cls(np.append(weights, -np.inf), math.log(words / total), math.log(end), math.log1p(-end))
 
     @classmethod
-    def of_scores(cls, pieces: Pieces) -> Spelling:
+    def of_scores(cls, pieces: Pieces) -> Model:
         return cls.of_counts(pieces, pieces.scores, float(pieces.scores[~pieces.opens].sum()) / 3)
 
     def forward(self, arcs: list, n: int) -> np.ndarray:
@@ -135,9 +181,10 @@ class Spelling:
     def log_probabilities(self, arcs: list, n: int) -> np.ndarray:
         return self.forward(arcs, n)[-1] + self.stop
 
-    def expected(self, arcs: list, n: int, counts: np.ndarray) -> float:
-        """Adds to ``counts`` how often each piece is expected in the words' segmentations; the words' log-likelihood."""
-        alpha = self.forward(arcs, n)
+    def expected(self, arcs: list, times: np.ndarray, counts: np.ndarray) -> float:
+        """Adds to ``counts`` how often each piece is expected in segmentations of the words, each ``times`` as often as it's
+        here; their log-likelihood."""
+        alpha = self.forward(arcs, len(times))
         beta = np.full(alpha.shape, -np.inf)
         beta[-1] = 0
         found, shares = [], []
@@ -147,25 +194,81 @@ class Spelling:
                 there = piece[hit]
                 through = beta[end][hit] + self.weights[there]
                 found.append(there)
-                shares.append(np.exp(alpha[start][hit] + through - alpha[-1][hit]))
+                shares.append(times[hit] * np.exp(alpha[start][hit] + through - alpha[-1][hit]))
                 beta[start][hit] = np.logaddexp(beta[start][hit], through)
         if found:
             counts += np.bincount(np.concatenate(found), np.concatenate(shares), len(counts))
-        return float((alpha[-1] + self.stop).sum())
+        return float(times @ (alpha[-1] + self.stop))
+
+    def forward_long(self, pieces: Pieces, word: np.ndarray) -> np.ndarray:
+        """The same for one word of any length, place by place."""
+        n, exp, log = len(word), math.exp, math.log
+        alpha = [0.0]
+        for first in range(0, n, SEGMENT):
+            last = min(n, first + SEGMENT)
+            starts, ends, piece = pieces.segment(word, first, last)
+            bounds = np.searchsorted(ends, np.arange(first + 1, last + 2)).tolist()
+            starts, weights = starts.tolist(), self.weights[piece].tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                into = [alpha[s] + w for s, w in zip(starts[a:b], weights[a:b])]
+                top = max(into)
+                alpha.append(top + log(sum([exp(x - top) for x in into])))
+        return np.array(alpha)
+
+    def expected_long(self, pieces: Pieces, word: np.ndarray, times: float, counts: np.ndarray) -> float:
+        alpha = self.forward_long(pieces, word)
+        n, exp, log1p, none = len(word), math.exp, math.log1p, -math.inf
+        beta = [none] * n + [0.0]
+        for first in range((n - 1) // SEGMENT * SEGMENT, -1, -SEGMENT):
+            starts, ends, piece = pieces.segment(word, first, min(n, first + SEGMENT))
+            weights = self.weights[piece]
+            for s, e, w in zip(starts[::-1].tolist(), ends[::-1].tolist(), weights[::-1].tolist()):
+                through, so_far = beta[e] + w, beta[s]
+                if so_far == none:
+                    beta[s] = through
+                else:
+                    high, low = (through, so_far) if through > so_far else (so_far, through)
+                    beta[s] = high + log1p(exp(low - high))
+            after = np.array([beta[e] for e in ends.tolist()])
+            counts += np.bincount(piece, times * np.exp(alpha[starts] + weights + after - alpha[-1]), len(counts))
+        return times * (alpha[-1] + self.stop)
 
 
 def _by_length(words: list[bytes], cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, words as an array from a space on) of equally long words, at most about ``cells`` bytes each."""
+    """(places, words as an array from a space on) of equally long words, at most about ``cells`` bytes each; of words longer
+    than LONG, one at a time."""
     lengths = np.array([len(w) for w in words])
     for length in np.unique(lengths):
         places = np.flatnonzero(lengths == length)
-        step = max(1, cells // (int(length) + 1))
+        step = max(1, cells // (int(length) + 1)) if length <= LONG else 1
         for at in range(0, len(places), step):
             some = places[at : at + step]
             joined = np.frombuffer(b"".join(b" " + words[k] for k in some), np.uint8)
             yield some, joined.reshape(len(some), -1)
 
 
+def log_probabilities(model: Model, pieces: Pieces, words: list[bytes]) -> np.ndarray:
+    """Of words: natural logs of the sums over all segmentations."""
+    out = np.empty(len(words))
+    for places, array in _by_length(words):
+        if array.shape[1] > LONG + 1:
+            out[places] = model.forward_long(pieces, array[0])[-1] + model.stop
+        else:
+            out[places] = model.log_probabilities(pieces.arcs(array), len(array))
+    return out
+
+
+def add_expected(model: Model, pieces: Pieces, words: list[bytes], times: np.ndarray, counts: np.ndarray) -> float:
+    """Adds expected counts of pieces to ``counts``; the words' log-likelihood."""
+    total = 0.0
+    for places, array in _by_length(words):
+        if array.shape[1] > LONG + 1:
+            total += model.expected_long(pieces, array[0], float(times[places[0]]), counts)
+        else:
+            total += model.expected(pieces.arcs(array), times[places], counts)
+    return total
+
+
 def _in_groups(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.Table]:
     held, n = [], 0
     for batch in batches:
@@ -178,176 +281,105 @@ def _in_groups(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def count_words(docs: DataFrame, groups: int, flush: int = 200_000) -> DataFrame:
-    """word and its counts c0, c1, ... by ``group`` (0 to groups - 1) of every distinct word. ``docs``: group, text."""
-    kind = pa.schema([("word", pa.binary()), ("group", pa.int32()), ("c", pa.int64())])
+def count_words(docs: DataFrame, flush: int = 200_000) -> DataFrame:
+    """word, c (in training texts), c_all of every distinct word. ``docs``: held_out, text."""
+    kind = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("c_all", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters: list[Counter] = [Counter() for _ in range(groups)]
+        trained, others = Counter(), Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            for k, counter in enumerate(counters):
+            for counter, share in ((trained, 1), (others, 0)):
                 words = list(counter)
                 for at in range(0, len(words), 50_000):
                     some = words[at : at + 50_000]
-                    columns = {"word": some, "group": [k] * len(some), "c": [counter[w] for w in some]}
-                    yield pa.RecordBatch.from_pydict(columns, schema=kind)
+                    n = np.fromiter((counter[w] for w in some), np.int64, len(some))
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(n * share), pa.array(n)], schema=kind)
                 counter.clear()
 
-        for batch in batches:
-            for k, text in zip(batch.column("group").to_pylist(), batch.column("text").to_pylist()):
-                counters[k].update(words_of(text))
-            if sum(map(len, counters)) > flush:
+        for batch in arrow_batches(batches):
+            for held, text in zip(batch.column("held_out").to_pylist(), batch.column("text").to_pylist()):
+                (others if held else trained).update(words_of(text))
+            if len(trained) + len(others) > flush:
                 yield from out()
         yield from out()
 
-    counted = docs.select("group", "text").mapInArrow(run, "word binary, group int, c long")
-    each = [F.sum(F.when(F.col("group") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(groups)]
-    return counted.groupBy("word").agg(*each)
+    counted = docs.select("held_out", "text").mapInArrow(run, "word binary, c long, c_all long")
+    return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
-def fit_spellings(words: DataFrame, pieces: Pieces, classes: int, rise: float = 0.01) -> list[Spelling]:
-    """Expectation maximisation over each class's distinct training words. A round sends one number a piece and class.
-    A class is done once a round finds its words' mean log-likelihood risen by less than ``rise`` since the last one."""
+def fit(words: DataFrame, pieces: Pieces, texts: float = 0.0, rise: float = 0.01) -> Model:
+    """Expectation maximisation over the training words (word, c). A round sends one number a piece. It's done once a round
+    finds the words' mean log-likelihood risen by less than ``rise`` since the last one."""
     spark = words.sparkSession
-    models = [Spelling.of_scores(pieces)] * classes
     n_pieces = len(pieces.names)
     shared_pieces = spark.sparkContext.broadcast(pieces)
-    rising, reached = list(range(classes)), [-math.inf] * classes
-    while rising:
-        shared = spark.sparkContext.broadcast(models)  # of the vocabulary's size
+    model, reached = Model.of_scores(pieces), -math.inf
+    while True:
+        shared = spark.sparkContext.broadcast(model)  # of the vocabulary's size
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, rising=rising) -> Iterator[pa.RecordBatch]:
-            counts, stops, likelihood = np.zeros((classes, n_pieces)), np.zeros(classes), np.zeros(classes)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            counts, total, likelihood = np.zeros(n_pieces), 0.0, 0.0
             for group in _in_groups(batches):
-                some = group.column("word").to_pylist()
-                used = np.stack([group.column(f"c{k}").to_numpy() > 0 for k in range(classes)])
-                stops += used.sum(axis=1)
-                for k in rising:
-                    of_class = [some[i] for i in np.flatnonzero(used[k])]
-                    for _, array in _by_length(of_class):
-                        arcs = shared_pieces.value.arcs(array)
-                        likelihood[k] += shared.value[k].expected(arcs, len(array), counts[k])
-            for k in rising:
-                held = np.flatnonzero(counts[k])
-                n = np.append(counts[k][held], [stops[k], likelihood[k]])
-                columns = {"group": [k] * len(n), "piece": np.append(held, [-1, -2]), "n": n}
-                yield pa.RecordBatch.from_pydict(columns)
-
-        each = words.select("word", *[f"c{k}" for k in range(classes)]).mapInArrow(run, "group long, piece long, n double")
-        got = each.groupBy("group", "piece").agg(F.sum("n").alias("n")).toArrow()
-        group, piece, n = (got.column(c).to_numpy() for c in ("group", "piece", "n"))
-        models, tried, rising = list(models), rising, []
-        for k in tried:
-            stops, likelihood = (float(n[(group == k) & (piece == x)].sum()) for x in (-1, -2))
-            if stops:
-                counts = np.zeros(n_pieces)
-                mine = (group == k) & (piece >= 0)
-                counts[piece[mine]] = n[mine]
-                models[k] = Spelling.of_counts(pieces, counts + 0.01, stops)
-                if likelihood / stops - reached[k] >= rise:
-                    rising.append(k)
-                reached[k] = likelihood / stops
-    return models
+                times = group.column("c").to_numpy().astype(np.float64)
+                likelihood += add_expected(shared.value, shared_pieces.value, group.column("word").to_pylist(), times, counts)
+                total += times.sum()
+            held = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"piece": np.append(held, [-1, -2]), "n": np.append(counts[held], [total, likelihood])})
+
+        got = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, n double")
+        got = got.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        shared.unpersist()
+        piece, n = got.column("piece").to_numpy(), got.column("n").to_numpy()
+        total, likelihood = float(n[piece == -1].sum()), float(n[piece == -2].sum())
+        if not total:
+            break
+        counts = np.zeros(n_pieces)
+        counts[piece[piece >= 0]] = n[piece >= 0]
+        model = Model.of_counts(pieces, counts + 0.01, total, texts)
+        if likelihood / total - reached < rise:
+            break
+        reached = likelihood / total
+    shared_pieces.unpersist()
+    return model
 
 
-@dataclass
-class Weights:
-    """Of a class: its training tokens, distinct tokens, documents, discount and share of all training documents."""
-
-    n: int
-    v: int
-    ends: int
-    discount: float
-    share: float
-
-    def score(self, c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """log10 weight of words by count. ``spelled``: natural log of the spelling's probability."""
-        if not self.n:
-            return (spelled + math.log(0.5)) / LN10
-        with np.errstate(divide="ignore"):
-            known = np.log(np.maximum(c - self.discount, 0) / self.n)
-        return np.logaddexp(known, math.log(self.discount * self.v / self.n) + spelled) / LN10
-
-    def end(self) -> float:
-        return math.log10((self.ends - self.discount) / self.n) if self.n else math.log10(0.5)
-
-
-def _class_column(docs: DataFrame, column: str, held, classes: int):
-    """Number of a row's class, and how many there are; the last one is of all other values. Sends ``classes`` rows."""
-    if column not in docs.columns:
-        return F.lit(0), 1
-    common = docs.where(~held & F.col(column).isNotNull()).groupBy(column).count()
-    names = [r[0] for r in common.orderBy(F.col("count").desc(), column).limit(classes).collect()]
-    number = F.lit(len(names))
-    for k, name in enumerate(names):
-        number = F.when(F.col(column) == name, k).otherwise(number)
-    return number, len(names) + 1
-
-
-def score_texts(
-    docs: DataFrame, vocabulary: str, mod: int = 7, held: int = 2, hot: int = 100_000, column: str = "lang", classes: int = 7
-) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary: str, mod: int = 7, held: int = 2, hot: int = 100_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    is_held = remainder("doc_id", mod) == held
-    number, n_classes = _class_column(docs, column, is_held, classes)
-    rows = docs.select(
-        "doc_id", is_held.alias("held_out"), F.when(is_held, n_classes).otherwise(number).alias("group"), text_of("text").alias("text")
-    )
-    counts = written(count_words(rows, n_classes + 1), "lm-counts")
-    trained = [f"c{k}" for k in range(n_classes)]
-    total = sum((F.col(c) for c in trained), F.lit(0))
-    ends = dict(map(tuple, rows.where("not held_out").groupBy("group").count().collect()))
-    wanted = [F.count_if(total > 0)]
-    for c in trained:
-        wanted += [F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)]
-    sums = [x or 0 for x in counts.agg(*[w.alias(f"s{k}") for k, w in enumerate(wanted)]).first()]
-    all_ends = sum(ends.values())
-    weights = []
-    for k in range(n_classes):
-        tokens, types, once, twice = sums[1 + 4 * k : 5 + 4 * k]
-        e = ends.get(k, 0)
-        discount = min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
-        weights.append(Weights(tokens + e, types + (e > 0), e, discount, (e + 0.5) / (all_ends + 0.5 * n_classes)))
-    n, v = sum(w.n for w in weights), sums[0] + (all_ends > 0)
+    rows = docs.select("doc_id", (remainder("doc_id", mod) == held).alias("held_out"), text_of("text").alias("text"))
+    counts = written(count_words(rows), "lm-counts")
+    texts = rows.where("not held_out").count()
+    words, types = (x or 0 for x in counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first())
+    n, v = words + texts, types + (texts > 0)
     pieces = Pieces.of_file(vocabulary)
-    models = fit_spellings(counts, pieces, n_classes)
-    shared = spark.sparkContext.broadcast((pieces, models, weights))
+    model = fit(counts, pieces, float(texts))
+    shared = spark.sparkContext.broadcast((pieces, model))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, models, weights = shared.value
+        pieces, model = shared.value
         for group in _in_groups(batches):
-            words = group.column("word").to_pylist()
-            c = np.stack([group.column(f"c{k}").to_numpy() for k in range(n_classes)])
-            scores = np.empty((n_classes, len(words)))
-            for places, array in _by_length(words):
-                arcs = pieces.arcs(array)
-                for k in range(n_classes):
-                    scores[k, places] = weights[k].score(c[k, places], models[k].log_probabilities(arcs, len(array)))
-            known = c.sum(axis=0)
-            columns = {"word": words, "c": known, "c_all": known + group.column(f"c{n_classes}").to_numpy()}
-            columns |= {f"s{k}": scores[k].astype(np.float32) for k in range(n_classes)}
-            yield from pa.table(columns).to_batches(50_000)
-
-    scores = [f"s{k}" for k in range(n_classes)]
-    kinds = ", ".join(f"{s} float" for s in scores)
-    weighed = written(counts.mapInArrow(weigh, f"word binary, c long, c_all long, {kinds}"), "lm-words")
+            scores = (log_probabilities(model, pieces, group.column("word").to_pylist()) + model.more) / LN10
+            yield from group.append_column("score", pa.array(scores)).to_batches(50_000)
+
+    weighed = written(counts.mapInArrow(weigh, "word binary, c long, c_all long, score double"), "lm-words")
     base = F.log10((F.col("c").cast("double") + 1) / F.lit(float(n + v + 1)))
+    each = ["known", "base", "score"]
+    valued = weighed.select("word", "c_all", (F.col("c") > 0).cast("double").alias("known"), base.alias("base"), "score")
     # The commonest words, at most ``hot``: all whose count is over a limit found from a histogram of log counts.
     bin_ = F.floor(F.log2("c_all") * 4)
+    brief = F.octet_length("word") <= LONG
     limit, kept = 1 << 30, 0
-    for value, size in sorted(map(tuple, weighed.groupBy(bin_).count().collect()), reverse=True):
+    for value, size in sorted(map(tuple, weighed.where(brief).groupBy(bin_).count().collect()), reverse=True):
         if kept + size > hot:
             break
         limit, kept = value, kept + size
-    is_hot = bin_ >= F.lit(limit)
-    top = weighed.where(is_hot).select("word", (F.col("c") > 0).alias("known"), base.alias("base"), *scores).toArrow()
+    is_hot = (bin_ >= F.lit(limit)) & brief
+    top = valued.where(is_hot).select("word", *each).toArrow()
     numbers = {w: k for k, w in enumerate(top.column("word").to_pylist())}
-    matrix = np.stack([top.column(c).to_numpy().astype(np.float64) for c in ("known", "base", *scores)], axis=1)
+    matrix = np.stack([top.column(c).to_numpy() for c in each], axis=1)
     common = spark.sparkContext.broadcast((numbers, matrix))
-    end = [float(all_ends > 0), math.log10((all_ends + 1) / (n + v + 1))]
-    end = np.array(end + [math.log10(w.share) + w.end() for w in weights])
+    end = np.array([float(texts > 0), math.log10((texts + 1) / (n + v + 1)), model.end / LN10])
     kind = pa.schema(
         [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())]
         + [("sums", pa.list_(pa.float64())), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))]
@@ -357,7 +389,7 @@ def score_texts(
         from pyspark import TaskContext
 
         (numbers, matrix), row = common.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in arrow_batches(batches):
             out: list[list] = [[] for _ in kind]
             for doc_id, held_out, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "held_out", "text"))):
                 tokens = words_of(text)
@@ -380,22 +412,18 @@ def score_texts(
         "lm-rows",
     )
     rare = partly.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
-    cold = weighed.where(~is_hot).select("word", (F.col("c") > 0).cast("double").alias("known"), base.alias("base"), *scores)
-    each = ["known", "base", *scores]
     rest = (
-        rare.join(growing(cold), rare.words == cold.word)
+        rare.join(growing(valued.where(~is_hot)), rare.words == F.col("word"))
         .groupBy("row")
-        .agg(*[F.sum(F.col("times") * F.col(c).cast("double")).alias(c) for c in each])
+        .agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in each])
     )
-    sums = [F.col("sums")[k] + F.coalesce(F.col(c), F.lit(0.0)) for k, c in enumerate(each)]
-    most = F.greatest(*sums[2:]) if n_classes > 1 else sums[2]
-    spread = sum((F.pow(F.lit(10.0), x - most) for x in sums[2:]), F.lit(0.0))
+    known, base_sum, score = (F.col("sums")[k] + F.coalesce(F.col(c), F.lit(0.0)) for k, c in enumerate(each))
     return partly.drop("words", "times").join(growing(rest), "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        F.round(sums[0]).cast("long").alias("n_known"),
+        F.round(known).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        sums[1].alias("base_score"),
-        (most + F.log10(spread)).alias("score"),
+        base_sum.alias("base_score"),
+        score.alias("score"),
     )

@@ -26,7 +26,7 @@ def segmentations(word):
 
 
 def test_forward_sums_all_segmentations(pieces):
-    model = lm.Spelling.of_scores(pieces)
+    model = lm.Model.of_scores(pieces)
     weight = dict(zip(pieces.names, model.weights))
     for word in (b"the", b"cat", "né".encode(), b"zzq!"):
         spelled = b" " + word
@@ -37,7 +37,7 @@ def test_forward_sums_all_segmentations(pieces):
 
 
 def test_expected_counts_match_enumeration(pieces):
-    model = lm.Spelling.of_scores(pieces)
+    model = lm.Model.of_scores(pieces)
     weight, number = dict(zip(pieces.names, model.weights)), {p: k for k, p in enumerate(pieces.names)}
     spelled = b" tion"
     found = Counter()
@@ -49,19 +49,55 @@ def test_expected_counts_match_enumeration(pieces):
             for x in s:
                 found[number[x]] += p
     counts = np.zeros(len(pieces.names))
-    model.expected(pieces.arcs(np.frombuffer(spelled, np.uint8)[None]), 1, counts)
-    assert {k: pytest.approx(v / total) for k, v in found.items()} == {k: counts[k] for k in found}
+    likelihood = model.expected(pieces.arcs(np.frombuffer(spelled, np.uint8)[None]), np.array([3.0]), counts)
+    assert {k: pytest.approx(3 * v / total) for k, v in found.items()} == {k: counts[k] for k in found}
+    assert likelihood == pytest.approx(3 * (math.log(total) + model.stop))
 
 
 def test_weights_are_a_distribution(pieces):
-    model = lm.Spelling.of_scores(pieces)
+    model = lm.Model.of_scores(pieces)
     weights = np.exp(model.weights[:-1])
     assert weights[pieces.opens].sum() == pytest.approx(1)
     assert weights[~pieces.opens].sum() + math.exp(model.stop) == pytest.approx(1)
-    c = np.array([5.0, 1.0, 1.0, 3.0])
-    w = lm.Weights(int(c.sum()) + 2, 5, 2, 0.6, 1.0)
-    known = 10.0 ** w.score(c, np.full(4, -np.inf))
-    assert known.sum() + 10 ** w.end() + 0.6 * 5 / w.n == pytest.approx(1)
+    assert math.exp(model.end) + math.exp(model.more) == pytest.approx(1)
+    fitted = lm.Model.of_counts(pieces, pieces.scores, 10.0, 4.0)
+    assert math.exp(fitted.end) == pytest.approx(4.5 / 15) and math.exp(fitted.end) + math.exp(fitted.more) == pytest.approx(1)
+
+
+def test_long_words_are_taken_place_by_place(pieces, monkeypatch):
+    model = lm.Model.of_scores(pieces)
+    word = " " + "naïveantidisestablishment" * 2 + "x" * 40 + "é"
+    array = np.frombuffer(word.encode(), np.uint8)
+    want, counts = model.forward(pieces.arcs(array[None]), 1)[:, 0], np.zeros(len(pieces.names))
+    total = model.expected(pieces.arcs(array[None]), np.array([2.0]), counts)
+    for size in (7, 64, 8192):
+        monkeypatch.setattr(lm, "SEGMENT", size)
+        assert model.forward_long(pieces, array) == pytest.approx(want)
+        again = np.zeros(len(counts))
+        assert model.expected_long(pieces, array, 2.0, again) == pytest.approx(total)
+        assert again == pytest.approx(counts)
+
+
+def test_a_text_without_spaces_takes_linear_time(pieces):
+    import time
+
+    model, rng = lm.Model.of_scores(pieces), random.Random(2)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000)).encode()
+
+    def took(n):
+        began = time.process_time()
+        assert math.isfinite(lm.log_probabilities(model, pieces, [text[:n]])[0])
+        return time.process_time() - began
+
+    took(10_000)
+    assert took(200_000) < 8 * took(50_000) + 1
+
+
+def test_look_finds_every_beginning(pieces):
+    assert (pieces.look(pieces.hashes[1:]) == np.arange(1, len(pieces.hashes))).all()
+    others = np.random.default_rng(1).integers(0, 1 << 63, 10_000, dtype=np.uint64)
+    known = set(pieces.hashes.tolist())
+    assert all((x in known) == bool(y) for x, y in zip(others.tolist(), pieces.look(others).tolist()))
 
 
 def rows():
@@ -91,8 +127,6 @@ def test_contract_columns_match_brute_force(spark, documents, odd, hot):
         want.append((k, zlib.crc32(str(k).encode()) % 7 == 2, len(ws) + 1, sum(trained[w] > 0 for w in ws) + 1, n, round(base, 6)))
     assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == sorted(want)
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
-    held = [r for r in got if r["held_out"] and r["doc_id"] < 1000]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) * 1.25
 
 
 def test_hot_words_change_nothing(spark, documents):
@@ -113,20 +147,33 @@ def test_fitting_goes_on_until_the_likelihood_stops_rising(spark, pieces):
     rng = random.Random(4)
     parts = ["an", "der", "ing", "st", "o", "ure", "tha", "li", "e", "ment"]
     words = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(1, 5))).encode() for _ in range(400)})
-    table = spark.createDataFrame([(bytearray(w), 1, 0) for w in words], "word binary, c0 long, c1 long")
-    fitted, untouched = lm.fit_spellings(table, pieces, 2)
-    assert (untouched.weights == lm.Spelling.of_scores(pieces).weights).all()
+    times = np.array([rng.randint(1, 9) for _ in words], float)
+    table = spark.createDataFrame([(bytearray(w), int(c)) for w, c in zip(words, times)] + [(bytearray(b"held"), 0)], "word binary, c long")
+    fitted = lm.fit(table, pieces, 20.0)
+    none = lm.fit(table.where("c = 0"), pieces)
+    assert (none.weights == lm.Model.of_scores(pieces).weights).all()
 
     def round_of(model):
-        counts, total = np.zeros(len(pieces.names)), 0.0
-        for _, array in lm._by_length(words):
-            arcs = pieces.arcs(array)
-            total += model.log_probabilities(arcs, len(array)).sum()
-            model.expected(arcs, len(array), counts)
-        return lm.Spelling.of_counts(pieces, counts + 0.01, float(len(words))), total / len(words)
+        counts = np.zeros(len(pieces.names))
+        total = lm.add_expected(model, pieces, words, times, counts)
+        return lm.Model.of_counts(pieces, counts + 0.01, times.sum(), 20.0), total / times.sum()
 
+    before = round_of(lm.Model.of_scores(pieces))[1]
     further, reached = round_of(fitted)
-    assert round_of(further)[1] - reached < 0.01
+    assert reached > before + 1 and round_of(further)[1] - reached < 0.01
+
+
+def test_scores_sum_the_words_lattices(spark, documents, pieces):
+    """From the model that fits the same words, text by text, without tables or joins."""
+    docs = [*rows(), (2000, "x" * 300 + " the"), (2001, None)]
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(documents(docs), PATH, hot=5).collect()}
+    trained = [t or "" for k, t, *_ in docs if zlib.crc32(str(k).encode()) % 7 != 2]
+    times = Counter(w for t in trained for w in lm.words_of(t))
+    table = spark.createDataFrame([(bytearray(w), c) for w, c in times.items()], "word binary, c long")
+    model = lm.fit(table, pieces, float(len(trained)))
+    for k, t, *_ in docs[::9] + docs[-2:]:
+        want = sum(lm.log_probabilities(model, pieces, [w])[0] + model.more for w in lm.words_of(t or "")) + model.end
+        assert got[k] == pytest.approx(want / math.log(10), rel=1e-5)
 
 
 def test_the_longest_pieces_are_arcs(pieces):
