@@ -32,8 +32,8 @@ def analyze_schema(spark: SparkSession, source: str | DataFrame, format: str | N
     return schema.infer(frame(source) if isinstance(source, DataFrame) else read(spark, source, format))
 
 
-def transform_dataset(spark: SparkSession, source: str, target: str, format: str | None = None) -> dict:
-    return transform(spark, source, target, None, format)
+def transform_dataset(spark: SparkSession, source: str, target: str, format: str | None = None, single: bool = True) -> dict:
+    return transform(spark, source, target, None, format, single)
 
 
 def _finish(spark: SparkSession, before: DataFrame, after: DataFrame, path: str, kind: str) -> tuple[dict, int]:
@@ -131,6 +131,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", choices=("markdown", "json"), default="markdown")
     p = verb(verbs, "transform", "input", "output")
     p.add_argument("--format", choices=sorted(FORMATS))
+    p.add_argument("--parts", action="store_true", help="write a folder of parts, each by a task of its own")
     methods = verbs.add_parser("synth").add_subparsers(dest="method", required=True)
     p = verb(methods, "smote", "input", "output")
     p.add_argument("--target", required=True)
@@ -167,7 +168,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> st
         preview = report.head(read(spark, a.path), a.rows)
         out = report.head_markdown(preview) if a.output == "markdown" else dump(preview)
     elif a.verb == "transform":
-        out = dump(transform_dataset(spark, a.input, a.output, a.format))
+        out = dump(transform_dataset(spark, a.input, a.output, a.format, not a.parts))
     elif a.verb == "synth" and a.method == "smote":
         out = dump(smote_dataset(spark, a.input, a.output, a.target, a.k, a.samples, a.target_rows, a.minority_label, a.seed, a.format))
     elif a.verb == "synth":

@@ -6,14 +6,13 @@ by the real table's mean and population deviation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstat import scratch
 from loomstat.operators import pairs as pairs_
+from loomstat.operators.neighbours import BLOCK, nearest
 from loomstat.operators.profile import ratio
 from loomstat.operators.ranking import average_ranks, cumulated, quantiles
 from loomstat.sources.cells import cells, frame
@@ -22,7 +21,6 @@ RARE = 5
 EXAMPLES = 5
 STEPS, RATE, L2 = 400, 0.1, 1e-4
 IN_MEMORY_CELLS = 4_000_000
-BLOCK = 20_000
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -51,6 +49,7 @@ def ks_distances(real: DataFrame, synthetic: DataFrame, features: list[str]) ->
 
 
 def ks_of_counts(counts: DataFrame) -> DataFrame:
+    counts = scratch.written(counts, "counts")
     totals = counts.groupBy("column").agg(F.sum("a").alias("total_a"), F.sum("b").alias("total_b"))
     ranked = cumulated(counts, ["column"], "num", ["a", "b"]).join(totals, "column")
     gap = F.abs(
@@ -129,44 +128,11 @@ def vectors(df: DataFrame, features: list[str], means: np.ndarray, spreads: np.n
 
 
 def nearest_two(queries: DataFrame, candidates: DataFrame, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """row_no, d1, d2: the two least distances from each query to a candidate (infinite where there's none).
-
-    Candidates stream through in blocks of a fixed size, each broadcast on its own; queries stay distributed. With
-    ``exclude_self`` queries and candidates are the same rows and a row isn't its own neighbour.
-    """
-    spark = queries.sparkSession
-    best = queries.select("row_no", "x", F.lit(float("inf")).alias("d1"), F.lit(float("inf")).alias("d2"))
-    held: list[tuple[int, list[float]]] = []
-
-    def against(best: DataFrame, rows: list[tuple[int, list[float]]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)))
-
-        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, there = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.stack(batch["x"].to_numpy())
-                d1, d2 = batch["d1"].to_numpy(copy=True), batch["d2"].to_numpy(copy=True)
-                for at in range(0, len(x), 256):
-                    part = slice(at, at + 256)
-                    gaps = np.sqrt(((x[part, None, :] - there[None]) ** 2).sum(axis=2))
-                    if exclude_self:
-                        gaps[batch["row_no"].to_numpy()[part, None] == ids[None]] = np.inf
-                    two = np.concatenate([d1[part, None], d2[part, None], gaps], axis=1)
-                    two = np.partition(two, 1, axis=1)
-                    d1[part], d2[part] = two[:, 0], two[:, 1]
-                yield batch.assign(d1=d1, d2=d2)
-
-        return best.mapInPandas(step, best.schema)
-
-    for row in candidates.select("row_no", "x").toLocalIterator():
-        held.append((row["row_no"], list(row["x"])))
-        if len(held) == block:
-            best, held = against(best, held), []
-    if held:
-        best = against(best, held)
-    return best.select("row_no", "d1", "d2")
+    """row_no, d1, d2: the two least distances from each query to a candidate (infinite where there's none). With
+    ``exclude_self`` queries and candidates are the same rows and a row isn't its own neighbour."""
+    found = nearest(queries, candidates, 2, exclude_self, block)
+    at = lambda k: F.coalesce(F.get("gaps", F.lit(k)), F.lit(float("inf")))
+    return found.select("row_no", at(0).alias("d1"), at(1).alias("d2"))
 
 
 def closest_distance(nearest: DataFrame) -> DataFrame:
@@ -290,6 +256,17 @@ def _probability(w: np.ndarray) -> Column:
     return F.when(z >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
 
 
+def scalar_columns(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> list[str]:
+    """Those of ``columns`` whose values on both sides are text or booleans alone, at least one of them."""
+    wanted = ("string", "boolean")
+    kinds = {side: dict(df.dtypes) for side, df in (("a", real), ("b", synthetic))}
+    names = [c for c in columns if kinds["a"][c] in wanted and kinds["b"][c] in wanted]
+    if not names:
+        return []
+    counts = [df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{k}") for k, c in enumerate(names)]).first() for df in (real, synthetic)]
+    return [c for k, c in enumerate(names) if counts[0][k] + counts[1][k]]
+
+
 #: Fixed texts of an evaluation report.
 REFERENCES = [
     {"metric": "propensity score MSE", "citation": "Snoke et al., General and specific utility measures for synthetic data (2018)", "url": "https://arxiv.org/abs/1604.06651", "note": "mean squared difference of a classifier's probabilities from the prior"},
@@ -303,8 +280,7 @@ def evaluate(real: DataFrame, synthetic: DataFrame, features: list[str], populat
     total = synthetic.count()
     columns = sorted(set(real.columns) | set(synthetic.columns))
     shared = [c for c in sorted(real.columns) if c in synthetic.columns and c not in features]
-    kinds = {f.name: f.dataType.simpleString() for f in real.schema.fields}
-    reviewed = [c for c in shared if kinds[c] in ("string", "boolean")]
+    reviewed = scalar_columns(real, synthetic, shared)
     means, spreads = standardisation(real, features)
     a, b = vectors(real, features, means, spreads).persist(), vectors(synthetic, features, means, spreads).persist()
     scores = propensity(a, b)

@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstat import scratch
 from loomstat.operators.profile import TOP, log2_term, ratio, top_of
 from loomstat.operators.ranking import average_ranks
 from loomstat.sources.cells import Dataset, cells, typed_cell, variant_cell, _with_canon
@@ -121,7 +122,7 @@ def pair_numeric(pairs: DataFrame) -> DataFrame:
 def pair_spearman(pairs: DataFrame) -> DataFrame:
     """Pearson of average ranks, taken over the pair's complete rows."""
     rows = _numbers(pairs)
-    counts = rows.groupBy("left", "right", "x", "y").agg(F.count("*").alias("n"))
+    counts = scratch.written(rows.groupBy("left", "right", "x", "y").agg(F.count("*").alias("n")), "counts")
     rank = lambda v: average_ranks(
         counts.groupBy("left", "right", v).agg(F.sum("n").alias("n")), ["left", "right"], v
     ).select("left", "right", v, F.col("rank").alias(f"rank_{v}"))
@@ -147,7 +148,7 @@ def _joint(pairs: DataFrame) -> DataFrame:
 def pair_categorical(pairs: DataFrame) -> DataFrame:
     """Distinct combinations, mutual information, chi-square over observed cells and Cramér's V."""
     keys = ["left", "right"]
-    joint = _joint(pairs)
+    joint = scratch.written(_joint(pairs), "joint")
     totals = joint.groupBy(*keys).agg(F.sum("n").alias("total"), F.count("*").alias("distinct_pair_count"))
     margin = lambda c: joint.groupBy(*keys, c).agg(F.sum("n").alias(f"n_{c}"))
     sides = {}

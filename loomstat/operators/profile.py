@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstat import scratch
 from loomstat.functions import text
 from loomstat.operators.ranking import monotone, quantiles
 
@@ -135,8 +136,8 @@ def numeric_moments(nums: DataFrame) -> DataFrame:
 
 def numeric_order(nums: DataFrame) -> DataFrame:
     """Quantiles, median absolute deviation, duplicates and Tukey outliers of each column, all exact."""
-    counts = nums.groupBy("column", "num").agg(F.count("*").alias("n"))
-    q = quantiles(counts, ["column"], "num", QUANTILES)
+    counts = scratch.written(nums.groupBy("column", "num").agg(F.count("*").alias("n")), "counts")
+    q = scratch.written(quantiles(counts, ["column"], "num", QUANTILES), "quantiles")  # a row for each column
     about = counts.join(q, "column")
     gaps = about.groupBy("column", F.abs(F.col("num") - F.col("p50")).alias("gap")).agg(F.sum("n").alias("n"))
     mad = quantiles(gaps, ["column"], "gap", {"mad": 0.5})

@@ -1,7 +1,8 @@
 """Exact order statistics that scale: ranks within value ranges instead of one sorted partition for each column.
 
-Values are dealt into ranges between approximate quantiles (a few numbers a column). Counts of ranges are summed first,
-then ranks inside a range come from a window over that range alone, so no task ever sorts a whole column.
+Values are written once and dealt into ranges of keys and values, as many as their number asks for (``RANGE`` rows each).
+Sums of ranges are added up first, then ranks inside a range come from a window over that range alone, so no task ever
+sorts a whole column. Values are equal if they're the same number: there's no tolerance for ties.
 """
 
 from __future__ import annotations
@@ -9,40 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST, MOST = 8, 256  # ranges of a column
+from loomstat import scratch
 
+RANGE = 500_000  # rows
 
-def parts_of(df: DataFrame) -> int:
-    """As many ranges as the cluster has shuffle partitions, within limits; results don't depend on it."""
-    return min(MOST, max(LEAST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
+def ranged(df: DataFrame, keys: list[str], value: str, size: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` and ``range_no``, in a written table, and the number of ranges. Equal keys and values share a range, and ranges
+    of a key are in ascending order of values."""
+    fixed = scratch.written(df, "values")
+    parts = max(1, -(-fixed.count() // (size or RANGE)))
+    if parts == 1:
+        return fixed.withColumn("range_no", F.lit(0)), 1
+    dealt = fixed.repartitionByRange(parts, *keys, value).withColumn("range_no", F.spark_partition_id())
+    return scratch.written(dealt, "ranges"), parts
 
-def ranged(df: DataFrame, keys: list[str], value: str, parts: int | None = None) -> DataFrame:
-    """``df`` and ``range_no``: the range of ``value`` within its keys. Equal values share a range."""
-    parts = parts or parts_of(df)
-    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
-    bounds = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, shares, F.lit(1000))).alias("bounds"))
-    number = F.size(F.filter("bounds", lambda b: b < F.col(value)))
-    return df.join(bounds, keys).withColumn("range_no", F.coalesce(number, F.lit(0))).drop("bounds")
 
-
-def cumulated(df: DataFrame, keys: list[str], value: str, weights: list[str], parts: int | None = None) -> DataFrame:
+def cumulated(df: DataFrame, keys: list[str], value: str, weights: list[str], size: int | None = None) -> DataFrame:
     """``df`` (one row for each key and value) and, for each weight w, ``before_w``: the sum of w over smaller values."""
-    dealt = ranged(df, keys, value, parts)
-    sums = dealt.groupBy(*keys, "range_no").agg(*[F.sum(w).alias(f"sum_{w}") for w in weights])
-    earlier = Window.partitionBy(*keys).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*keys, "range_no", *[F.coalesce(F.sum(f"sum_{w}").over(earlier), F.lit(0)).alias(f"base_{w}") for w in weights])
+    dealt, parts = ranged(df, keys, value, size)
     smaller = Window.partitionBy(*keys, "range_no").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inside = [F.coalesce(F.sum(w).over(smaller), F.lit(0)).alias(f"in_{w}") for w in weights]
-    ranked = dealt.select("*", *inside).join(bases, [*keys, "range_no"])
-    for w in weights:
-        ranked = ranked.withColumn(f"before_{w}", F.col(f"in_{w}") + F.col(f"base_{w}"))
-    return ranked.drop("range_no", *[f"{p}_{w}" for w in weights for p in ("in", "base")])
+    ranked = dealt.select("*", *[F.coalesce(F.sum(w).over(smaller), F.lit(0)).alias(f"before_{w}") for w in weights])
+    if parts > 1:
+        earlier = Window.partitionBy(*keys).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+        sums = dealt.groupBy(*keys, "range_no").agg(*[F.sum(w).alias(f"sum_{w}") for w in weights])
+        bases = sums.select(*keys, "range_no", *[F.coalesce(F.sum(f"sum_{w}").over(earlier), F.lit(0)).alias(f"base_{w}") for w in weights])
+        ranked = ranked.join(bases, [*keys, "range_no"])
+        for w in weights:
+            ranked = ranked.withColumn(f"before_{w}", F.col(f"before_{w}") + F.col(f"base_{w}"))
+        ranked = ranked.drop(*[f"base_{w}" for w in weights])
+    return ranked.drop("range_no")
 
 
 def quantiles(counts: DataFrame, keys: list[str], value: str, shares: dict[str, float], n: str = "n") -> DataFrame:
     """For each key, linearly interpolated quantiles at share * (total - 1), by name. ``counts``: key, value, n."""
-    totals = counts.groupBy(*keys).agg(F.sum(n).alias("total"))
+    counts = scratch.written(counts, "counts")
+    totals = counts.groupBy(*keys).agg(F.sum(n).alias("total"))  # a row for each column
     ranked = cumulated(counts, keys, value, [n]).join(totals, keys)
     first, last = F.col(f"before_{n}"), F.col(f"before_{n}") + F.col(n) - 1
 
@@ -70,7 +73,7 @@ def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str = "n")
 
 def monotone(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """For each key, whether ``value`` never falls (``increasing``) or never rises (``decreasing``) in ``order``."""
-    dealt = ranged(df, keys, order)
+    dealt, _ = ranged(df.select(*keys, order, value), keys, order)
     step = Window.partitionBy(*keys, "range_no").orderBy(order)
     before = F.lag(value).over(step)
     steps = dealt.select(*keys, "range_no", order, value, (F.col(value) < before).alias("fall"), (F.col(value) > before).alias("rise"))

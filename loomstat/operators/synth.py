@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstat.operators.evaluate import BLOCK, numeric_columns
+from loomstat import scratch
+from loomstat.operators.evaluate import numeric_columns
+from loomstat.operators.neighbours import nearest
 
 SMOTE_CAVEATS = [
     "Interpolated rows lie between real minority rows and can reveal them.",
@@ -42,54 +42,24 @@ def label_counts(df: DataFrame, target: str) -> DataFrame:
     return df.groupBy(F.col(f"`{target}`").cast("string").alias("label")).agg(F.count("*").alias("n"))
 
 
-def neighbours(rows: DataFrame, features: list[str], k: int, block: int = BLOCK) -> DataFrame:
-    """row_no, near (row_no of the k nearest other rows, ties by row_no) of each row; blocks of a fixed size are broadcast."""
-    spark = rows.sparkSession
+def neighbours(rows: DataFrame, features: list[str], k: int) -> DataFrame:
+    """row_no, near (row_no of the k nearest other rows, ties by row_no) of each row."""
     x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
     points = rows.select("row_no", x.alias("x"))
-    best = points.select("row_no", "x", F.array().cast("array<double>").alias("gaps"), F.array().cast("array<long>").alias("near"))
-
-    def against(best: DataFrame, held: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in held]), np.array([r[1] for r in held], float)))
-
-        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, there = shared.value
-            for batch in batches:
-                gaps_out, near_out = [], []
-                for own, here, gaps, near in zip(batch["row_no"], batch["x"], batch["gaps"], batch["near"]):
-                    d = np.sqrt(((there - np.asarray(here)) ** 2).sum(axis=1))
-                    d = np.where(ids == own, np.inf, d)
-                    all_d, all_n = np.concatenate([gaps, d]), np.concatenate([np.asarray(near, np.int64), ids])
-                    order = np.lexsort((all_n, all_d))[:k]
-                    order = order[np.isfinite(all_d[order])]
-                    gaps_out.append(all_d[order].tolist())
-                    near_out.append(all_n[order].tolist())
-                yield batch.assign(gaps=gaps_out, near=near_out)
-
-        return best.mapInPandas(step, best.schema)
-
-    held: list = []
-    for row in points.toLocalIterator():
-        held.append((row["row_no"], list(row["x"])))
-        if len(held) == block:
-            best, held = against(best, held), []
-    if held:
-        best = against(best, held)
-    return best.select("row_no", "near")
+    return nearest(points, points, k, exclude_self=True).select("row_no", "near")
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` and ``place``: 0, 1, 2 ... in row order, from counts of partitions (one number a partition)."""
+    """``df`` and ``place``: 0, 1, 2 ... in row order, from counts of partitions (one number a partition). Rows are written
+    first, with their partitions' numbers, so both jobs see the same ones."""
     tagged = df.withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
-    sizes = sorted(map(tuple, tagged.groupBy(part.alias("p")).count().collect()))
-    starts, total = {}, 0
-    for p, n in sizes:
-        starts[p] = total
-        total += n
-    base = F.create_map(*[x for p, s in starts.items() for x in (F.lit(p), F.lit(s))]) if starts else None
-    place = (F.col("__id").bitwiseAND((1 << 33) - 1) + (base[part] if starts else F.lit(0))).cast("long")
-    return tagged.withColumn("place", place).drop("__id")
+    fixed = scratch.written(tagged, "numbered")
+    sizes = fixed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))
+    place = (F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("__before")).cast("long")
+    return fixed.join(F.broadcast(starts), part == F.col("__part")).withColumn("place", place).drop("__id", "__part", "__before")
 
 
 def smote(
@@ -133,10 +103,20 @@ def append(df: DataFrame, synthetic: DataFrame) -> DataFrame:
 
 
 def exactly(df: DataFrame, rows: int, seed: int = 0) -> DataFrame:
-    """Exactly ``rows`` rows without replacement."""
-    if rows > df.count():
+    """Exactly ``rows`` rows without replacement, in random order. Every row draws a number; those under a limit that a little
+    more than ``rows`` of them should reach are kept, and only the highest of these are sorted out."""
+    total = df.count()
+    if rows > total:
         raise ValueError("target rows exceed the augmented dataset")
-    return df.orderBy(F.rand(seed)).limit(rows)
+    drawn = scratch.written(df.withColumn("__draw", F.rand(seed)), "drawn")
+    low = max(0.0, rows / max(1, total) - 4 * math.sqrt(rows + 1) / max(1, total))
+    high = min(1.0, rows / max(1, total) + 4 * math.sqrt(rows + 1) / max(1, total)) if rows else 0.0
+    sure, near = F.col("__draw") < low, (F.col("__draw") >= low) & (F.col("__draw") < high)
+    counts = drawn.agg(F.count_if(sure), F.count_if(sure | near)).first()
+    if not counts[0] <= rows <= counts[1]:  # about once in 10 000 draws
+        sure, near, counts = F.lit(False), F.lit(True), (0, total)
+    rest = drawn.where(near).orderBy("__draw").limit(rows - counts[0])
+    return drawn.where(sure).unionAll(rest).drop("__draw")
 
 
 def laplace(u: Column, scale: Column) -> Column:

@@ -435,19 +435,6 @@ def tabular_types_orders(spark, sf_dir):
     return _named(structure.tabular_types(cells(frame(shown))))
 
 
-@query("SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang ORDER BY n, label LIMIT 1")
-def minority_label_documents(spark, sf_dir):
-    return synth.label_counts(_table(spark, sf_dir, "documents"), "lang").orderBy("n", "label").limit(1)
-
-
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, (SELECT count(*) FROM orders) AS total_row_count FROM orders ORDER BY o_orderkey LIMIT 5")
-def head_orders(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders")
-    total = orders.agg(F.count("*").alias("total_row_count"))
-    first = orders.orderBy("o_orderkey").limit(5).select("o_orderkey", "o_custkey", "o_orderstatus")
-    return first.join(F.broadcast(total))
-
-
 #: Texts of cells, and what they are.
 CSV_CELLS = [
     ("007", "number", 7.0, True), ("+5", "number", 5.0, True), (" 5 ", "number", 5.0, True), ("1d", "string", None, False),
@@ -666,22 +653,3 @@ _GRAM = [(a, b) for i, a in enumerate(LINE) for b in LINE[i:]]
 def ridge_gram_lineitem(spark, sf_dir):
     items = _table(spark, sf_dir, "lineitem")
     return _round(diffusion.gram(items, [F.col(c) for c in LINE], [F.col("l_linenumber")]))
-
-
-@query(
-    """WITH u AS (SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, NULL FROM region)
-SELECT name, kind FROM u"""
-)
-def union_append(spark, sf_dir):
-    a = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit("nation").alias("kind"))
-    b = _table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
-    return a.unionByName(b, allowMissingColumns=True)
-
-
-@query(
-    f"""SELECT {_sig('avg(n_chars)')} AS mean_n_chars, {_sig('stddev_pop(n_chars)')} AS spread_n_chars, count(*) AS n FROM documents"""
-)
-def standardisation_documents(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    x = F.col("n_chars").cast("double")
-    return _round(docs.agg(F.avg(x).alias("mean_n_chars"), F.stddev_pop(x).alias("spread_n_chars"), F.count("*").alias("n")))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import io
 import json
-import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 
@@ -198,30 +196,22 @@ def _value(x, kind: str) -> bytes:
     return _long(1) + body
 
 
-def write_file(path: str, record: str, columns: list[tuple[str, str]], rows: Iterator[tuple], block: int = 4096) -> int:
-    """Writes rows (tuples in the order of columns) with Snappy blocks; returns their number."""
-    schema = json.dumps(flat_schema(record, columns))
-    sync, codec, total = os.urandom(16), pa.Codec("snappy"), 0
-    with open(path, "wb") as f:
-        meta = {"avro.schema": schema.encode(), "avro.codec": b"snappy"}
-        f.write(MAGIC + _long(len(meta)))
-        for k, v in meta.items():
-            f.write(_long(len(k)) + k.encode() + _long(len(v)) + v)
-        f.write(_long(0) + sync)
-        held, n = io.BytesIO(), 0
-
-        def flush() -> None:
-            raw = held.getvalue()
-            packed = codec.compress(raw, asbytes=True) + struct.pack(">I", zlib.crc32(raw))
-            f.write(_long(n) + _long(len(packed)) + packed + sync)
-
-        for row in rows:
-            for x, (_, kind) in zip(row, columns):
-                held.write(_value(x, kind))
-            n, total = n + 1, total + 1
-            if n == block:
-                flush()
-                held, n = io.BytesIO(), 0
-        if n:
-            flush()
-    return total
+BLOCK = 4096  # rows
+
+
+def header(record: str, columns: list[tuple[str, str]], sync: bytes) -> bytes:
+    """What a file of Snappy blocks begins with."""
+    meta = {"avro.schema": json.dumps(flat_schema(record, columns)).encode(), "avro.codec": b"snappy"}
+    pairs = (_long(len(k)) + k.encode() + _long(len(v)) + v for k, v in meta.items())
+    return MAGIC + _long(len(meta)) + b"".join(pairs) + _long(0) + sync
+
+
+def block(rows: Iterable[tuple], columns: list[tuple[str, str]], sync: bytes) -> bytes:
+    """One block of rows (tuples in the order of columns)."""
+    kinds, held, n = [kind for _, kind in columns], bytearray(), 0
+    for row in rows:
+        for x, kind in zip(row, kinds):
+            held += _value(x, kind)
+        n += 1
+    packed = pa.Codec("snappy").compress(bytes(held), asbytes=True) + struct.pack(">I", zlib.crc32(held))
+    return _long(n) + _long(len(packed)) + packed + sync

@@ -23,17 +23,26 @@ def detect_format(path: str) -> str:
     return FORMATS[extension]
 
 
-def read(spark: SparkSession, path: str, format: str | None = None) -> Dataset:
-    """A dataset from a path. A format that is given holds, whatever the extension."""
+def read(spark: SparkSession, path: str, format: str | None = None, multi_line: bool = True) -> Dataset:
+    """A dataset from a path. A format that is given holds, whatever the extension. ``multi_line`` off: no quoted CSV cell
+    holds a line feed, so that large files can be split."""
     kind = FORMATS[format.lower()] if format else detect_format(path)
-    return {"csv": read_csv, "json": read_json, "jsonl": read_jsonl, "parquet": read_parquet, "avro": read_avro}[kind](spark, path)
-
-
-def read_csv(spark: SparkSession, path: str) -> Dataset:
-    """A header row, then rows as wide as it. Cells keep their text; types are found cell by cell."""
-    options = {"header": "true", "inferSchema": "false", "multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
-    rows = spark.read.options(**options, enforceSchema="false").csv(path)
-    return Dataset(rows, "text", "csv", path)
+    if kind == "csv":
+        return read_csv(spark, path, multi_line)
+    return {"json": read_json, "jsonl": read_jsonl, "parquet": read_parquet, "avro": read_avro}[kind](spark, path)
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Dataset:
+    """A header row, then rows as wide as it. Cells keep their text; types are found cell by cell. Of columns of one name
+    the last one counts."""
+    reader = spark.read.options(quote='"', escape='"', mode="FAILFAST", multiLine=str(multi_line).lower())
+    head = reader.options(header="false").csv(path).first()
+    names = [n or "" for n in head] if head else []
+    if len({n.lower() for n in names}) == len(names):
+        return Dataset(reader.options(header="true", enforceSchema="false").csv(path), "text", "csv", path)
+    places = {n: k for k, n in enumerate(names)}
+    rows = reader.options(header="true").schema(", ".join(f"c{k} string" for k in range(len(names)))).csv(path)
+    return Dataset(rows.select(*[F.col(f"c{k}").alias(n) for n, k in places.items()]), "text", "csv", path)
 
 
 def _variants(texts: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
-import shutil
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.functions.text import let
@@ -43,62 +43,113 @@ def tabular(data: Dataset, empty_nulls: bool = False) -> tuple[DataFrame, dict[s
     return as_variants(data).select(entry.alias("m")).select(*[column(n).alias(n) for n in names]), kinds
 
 
-def _one_file(write, path: str) -> None:
-    """Runs ``write(folder)`` and moves its only part to ``path``."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    folder = f"{path}.parts"
-    shutil.rmtree(folder, ignore_errors=True)
-    write(folder)
-    part = next(iter(glob.glob(f"{folder}/part-*")), None)
-    if os.path.isdir(path):
-        shutil.rmtree(path)
-    if part:
-        os.replace(part, path)
-    else:
-        open(path, "w").close()
-    shutil.rmtree(folder)
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, as Hadoop sees it, and a maker of its paths. A local one leaves no checksum files."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    system = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() == "file":
+        system = system.getRawFileSystem()
+    return system, to_path
+
+
+def _one_file(df: DataFrame, path: str, how) -> None:
+    """Lets ``how`` write a folder of one part beside ``path`` and moves that part to ``path``. What stood there goes only
+    when the new file is complete; a part that can't be seen from here is an error."""
+    spark = df.sparkSession
+    files, to_path = _files(spark, path)
+    target, folder, old = to_path(path), to_path(f"{path}.parts"), to_path(f"{path}.old")
+    if target.getParent():
+        files.mkdirs(target.getParent())
+    files.delete(folder, True)
+    how(df.coalesce(1).write.mode("overwrite"), folder.toString())
+    found = [f.getPath() for f in files.listStatus(folder)] if files.exists(folder) else []
+    parts = [f for f in found if f.getName().startswith("part-")]
+    if len(parts) > 1 or (not parts and not df.isEmpty()):
+        raise OSError(f"{len(parts)} part files in {folder.toString()}: the driver doesn't see what the executors wrote")
+    if files.exists(target):
+        files.delete(old, True)
+        files.rename(target, old)
+    done = files.rename(parts[0], target) if parts else files.createNewFile(target)
+    if not done:
+        files.rename(old, target)
+        raise OSError(f"can't move the output to {path}")
+    files.delete(old, True)
+    files.delete(folder, True)
+
+
+def _pretty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one JSON array, from a partition of compact objects."""
+    before = "["
+    for batch in batches:
+        lines = []
+        for value in batch.column("value").to_pylist():
+            text = json.dumps(json.loads(value), indent=2, ensure_ascii=False).replace("\n", "\n  ")
+            lines.append(f"{before}\n  {text}")
+            before = ","
+        if lines:
+            # A line feed follows each row, so a row ends where the next one's comma stands.
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array([f"{before}\n]" if before == "[" else "]"], pa.string())], ["value"])
 
 
 def write(data: Dataset, path: str, format: str | None = None, single: bool = True, empty_nulls: bool = False) -> None:
-    """Overwrites ``path``. Missing folders are made."""
+    """Overwrites ``path``: one file, written by one task, or with ``single`` off a folder of as many parts as there are
+    partitions. Missing folders are made."""
     kind = FORMATS[format.lower()] if format else detect_format(path)
     if kind in ("json", "jsonl"):
         lines = as_variants(data).select(F.to_json("v").alias("value"))
-        if kind == "jsonl":
-            return _save(lines, path, single, lambda w, to: w.text(to))
-        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-        with open(path, "w") as f:  # streamed: one row at a time is in memory
-            f.write("[")
-            for k, row in enumerate(lines.toLocalIterator()):
-                text = json.dumps(json.loads(row["value"]), indent=2, ensure_ascii=False)
-                f.write(("," if k else "") + "\n  " + text.replace("\n", "\n  "))
-            f.write("\n]\n")
-        return None
+        if kind == "json":  # an array in each part
+            lines = (lines.coalesce(1) if single else lines).mapInArrow(_pretty, "value string")
+        return _save(lines, path, single, lambda w, to: w.text(to))
     flat, kinds = tabular(data, empty_nulls)
     if kind == "parquet":
         return _save(flat, path, single, lambda w, to: w.parquet(to))
     if kind == "csv":
         options = {"header": "true", "nullValue": "", "emptyValue": "", "quote": '"', "escape": '"'}
         return _save(flat, path, single, lambda w, to: w.options(**options).csv(to))
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     stem = os.path.splitext(os.path.basename(path))[0]
-    columns = [(n, AVRO_TYPES[kinds[n]]) for n in flat.columns]
-    avro.write_file(path, type_name(stem), columns, (tuple(r) for r in flat.toLocalIterator()))
-    return None
+    return _avro_file(flat, path, type_name(stem), [(n, AVRO_TYPES[kinds[n]]) for n in flat.columns])
+
+
+def _avro_file(flat: DataFrame, path: str, record: str, columns: list[tuple[str, str]]) -> None:
+    """Tasks encode and pack blocks; the driver appends one block after the other, and holds one at a time."""
+    files, to_path = _files(flat.sparkSession, path)
+    sync, target, made = os.urandom(16), to_path(path), to_path(f"{path}.part")
+    if target.getParent():
+        files.mkdirs(target.getParent())
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, avro.BLOCK):
+                rows = zip(*(c.to_pylist() for c in batch.slice(at, avro.BLOCK).columns))
+                yield pa.RecordBatch.from_arrays([pa.array([avro.block(rows, columns, sync)], pa.binary())], ["block"])
+
+    out = files.create(made, True)
+    try:
+        out.write(avro.header(record, columns, sync))
+        for row in flat.mapInArrow(encode, "block binary").toLocalIterator() if columns else ():
+            out.write(bytes(row["block"]))
+    finally:
+        out.close()
+    files.delete(target, True)
+    if not files.rename(made, target):
+        raise OSError(f"can't move the output to {path}")
 
 
 def _save(df: DataFrame, path: str, single: bool, how) -> None:
     if single:
-        _one_file(lambda folder: how(df.coalesce(1).write.mode("overwrite"), folder), path)
+        _one_file(df, path, how)
     else:
         how(df.write.mode("overwrite"), path)
 
 
-def transform(spark, source: str, target: str, source_format: str | None = None, target_format: str | None = None) -> dict:
+def transform(
+    spark, source: str, target: str, source_format: str | None = None, target_format: str | None = None, single: bool = True
+) -> dict:
     """Converts a file; the report says what was converted."""
     data = read(spark, source, source_format)
     kind = FORMATS[target_format.lower()] if target_format else detect_format(target)
-    write(data, target, kind)
+    write(data, target, kind, single)
     return {
         "source_path": source,
         "source_format": data.format,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions import text
 from loomstat.operators import diff, evaluate, pairs, profile, ranking, structure
+from loomstat.sources import sinks
 from loomstat.sources.cells import cells, frame
 from loomstat.sources.readers import read
 
@@ -65,7 +66,23 @@ def test_order_statistics_match_numpy(spark):
     assert row["duplicate_count"] == len(values) - len(set(values.tolist()))
 
 
-def test_monotone_over_ranges(spark):
+def test_order_statistics_over_many_ranges(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ranking, "RANGE", 40)
+    values = np.random.default_rng(2).integers(-500, 500, 1200) / 4
+    row = profile.numeric_order(nums(spark, values)).first()
+    assert row["p95"] == pytest.approx(np.percentile(values, 95)) and row["mad"] == pytest.approx(np.median(np.abs(values - np.median(values))))
+    counts = spark.createDataFrame([(k % 3, float(k), 1 + k % 2) for k in range(300)], "key long, v double, n long")
+    for key in range(3):
+        mine = [(k, 1 + k % 2) for k in range(300) if k % 3 == key]
+        got = [r["rank"] for r in ranking.average_ranks(counts, ["key"], "v").where(f"key = {key}").orderBy("v").collect()]
+        assert got == [sum(m for j, m in mine if j < k) + (n + 1) / 2 for k, n in mine]
+
+
+@pytest.mark.parametrize("size", [10**6, 64])
+def test_monotone_over_ranges(spark, monkeypatch, size):
+    monkeypatch.setattr(ranking, "RANGE", size)
     up = [k // 2 for k in range(1000)]
     for values, want in ((up, (True, False)), (up[::-1], (False, True)), (up[:500] + [0] + up[500:], (False, False))):
         row = profile.numeric_monotone(nums(spark, values)).first()
@@ -165,3 +182,80 @@ def test_names_with_dots_keep_their_paths(spark, tmp_path):
     data = read(spark, stored(tmp_path, [{"a.b": 1, "a": {"b": [{"c": None}]}}]))
     steps = {tuple(r["steps"]): r["kind"] for r in structure.path_stats(data).collect()}
     assert steps[(".a.b",)] == "number" and steps[(".a", ".b", "[]", ".c")] == "null"
+
+
+def test_the_last_of_columns_of_one_name_counts(spark, tmp_path):
+    path = tmp_path / "d.csv"
+    path.write_text('id,a,a\n1,"x\ny",2\n3,z,4\n')
+    data = read(spark, str(path))
+    assert data.columns() == ["a", "id"]
+    assert sorted((r["id"], r["a"]) for r in data.rows.collect()) == [("1", "2"), ("3", "4")]
+    (tmp_path / "r.csv").write_text("id,a,a\n1,2\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILED_READ"):
+        read(spark, str(tmp_path / "r.csv")).rows.collect()
+
+
+def test_large_csv_files_can_be_split(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text("id,s\n" + "".join(f"{k},{'v' * 40}\n" for k in range(50_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        assert read(spark, str(path)).rows.rdd.getNumPartitions() == 1
+        data = read(spark, str(path), multi_line=False)
+        assert data.rows.rdd.getNumPartitions() > 4 and data.count() == 50_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_parts_that_nobody_sees_are_an_error(spark, tmp_path, monkeypatch):
+    path = tmp_path / "out.jsonl"
+    path.write_text("what was there\n")
+    lines = spark.createDataFrame([("{}",)], "value string")
+    with pytest.raises(OSError, match="doesn't see"):
+        sinks._one_file(lines, str(path), lambda writer, folder: None)
+    assert path.read_text() == "what was there\n"
+    sinks._one_file(lines, str(path), lambda writer, folder: writer.text(folder))
+    assert path.read_text() == "{}\n" and sorted(x.name for x in tmp_path.iterdir()) == ["out.jsonl"]
+
+
+def test_sinks_of_no_rows_and_of_parts(spark, tmp_path):
+    empty = frame(spark.createDataFrame([], "a long, b string"))
+    for kind in ("json", "jsonl", "csv", "avro", "parquet"):
+        sinks.write(empty, str(tmp_path / f"none.{kind}"))
+        assert read(spark, str(tmp_path / f"none.{kind}")).count() == 0
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+    many = frame(spark.range(100).repartition(3))
+    for kind in ("jsonl", "csv", "parquet", "json"):
+        sinks.write(many, str(tmp_path / f"many.{kind}"), single=False)
+        assert read(spark, str(tmp_path / f"many.{kind}")).count() == 100
+
+
+def test_columns_of_nulls_are_not_reviewed(spark):
+    a = spark.createDataFrame([(None, "x", 1.0), (None, None, 2.0)], "u string, v string, w double")
+    assert evaluate.scalar_columns(a, a, ["u", "v", "w"]) == ["v"]
+
+
+def test_nearest_of_many_blocks_matches_brute_force(spark):
+    import numpy as np
+
+    from loomstat.operators.neighbours import nearest
+
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 9, (70, 3)).astype(float) * 1e4, rng.integers(0, 9, (90, 3)).astype(float) * 1e4
+    table = lambda v: spark.createDataFrame([(k, list(map(float, p))) for k, p in enumerate(v)], "row_no long, x array<double>")
+    for block in (8, 1000):
+        got = {r["row_no"]: (r["gaps"], r["near"]) for r in nearest(table(x), table(y), 5, block=block).collect()}
+        for k, p in enumerate(x):
+            gaps = np.sqrt(((y - p) ** 2).sum(axis=1))
+            order = np.lexsort((np.arange(90), gaps))[:5]
+            assert got[k][1] == order.tolist() and got[k][0] == gaps[order].tolist()
+    assert nearest(table(x[:0]), table(y), 2).count() == 0
+    assert [r["near"] for r in nearest(table(x[:1]), table(y[:0]), 2).collect()] == [[]]
+
+
+def test_places_follow_row_order(spark):
+    from loomstat.operators import synth
+
+    df = spark.range(0, 500, 1, 7)
+    assert [r["place"] for r in synth.numbered(df).orderBy("id").collect()] == list(range(500))
+    assert synth.numbered(df.where("id < 0")).count() == 0
