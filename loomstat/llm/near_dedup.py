@@ -1,9 +1,11 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified, joined into classes.
 
 Shingles are five words in a row (lower-cased runs of non-white-space; a text of one to four words is one shingle). A
-shingle weighs tf * idf. Document frequencies are counted over all documents in a table of 2**DF_BITS slots by shingle
-hash, corrected for the mean load of a slot (count-mean-min); idf = sqrt(1 + ln(N / df) / ln(N)), between 1 and sqrt(2):
-damped, so that a text that has many near copies isn't cut off from them because its shingles have become frequent.
+shingle weighs tf * idf. Document frequencies are counted over all documents in a table by shingle hash, corrected for the
+mean load of a slot (count-mean-min). The table has four slots or more for each document, 2**20 at least, up to 2**24 (64
+MB, the most that is broadcast); beyond that rare shingles blur together, but a shingle weighs the same in every document.
+idf = sqrt(1 + ln(N / df) / ln(N)), between 1 and sqrt(2): damped, so that a text that has many near copies isn't cut off
+from them because its shingles have become frequent.
 
 A document gets BANDS * ROWS samples by improved consistent weighted sampling (the sampled shingle and its level t); two
 documents of weighted Jaccard J agree in a sample with probability J, and meet in a band with J**ROWS: a pair at 0.8 is
@@ -11,10 +13,12 @@ missed about once in 500, one at 0.85 once in 10**4. Equal texts are one node fr
 
 Links between nodes are verified by exact weighted Jaccard of the whole texts (0.8 or more). Inside a bucket not all pairs
 are formed. First a few members, chosen by hash, are pivots, each is compared with all members, and what they link is joined
-into classes: most buckets are then of one class. The members of the others are dealt into blocks of about BLOCK by hash,
-and a task for each pair of blocks compares all its members of different classes with each other, by a product of
-sparse matrices; only links that join classes leave the task. So a bucket of copies costs a few comparisons a member, no link
-between different texts of a bucket is lost, there's no cap, and no task holds more than two blocks.
+into classes: most buckets are then of one class. Of the others, members are compared by their samples alone (2 bytes each), in
+pairs of blocks of about SKETCHES; who agrees with a member of another class in half of all samples stays (a pair at 0.8
+doesn't about once in 10**6). These are dealt into blocks of about BLOCK, and a task for each pair of blocks compares all
+its members of different classes by their whole texts, by a product of sparse matrices; only links that join classes leave
+the task. So a bucket of copies costs a few comparisons a member, members unlike each other are never copied with their
+texts, there's no cap, and no task holds more than two blocks.
 
 Defined results
 * null text: empty. Equal texts (also empty ones) are always one class; a text without words is like no other text
@@ -32,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.shared import arrow_batches, growing, partitions, text_of, written
+from loomstat.llm.shared import arrow_batches, growing, partitions, temporary, text_of, written
 
 WORDS, BANDS, ROWS, THRESHOLD = 5, 12, 4, 0.8
-DF_BITS, CHUNK_BITS = 20, 14
+LEAST_BITS, MOST_BITS, CHUNK_BITS = 20, 24, 14  # of the table of document frequencies, and of its parts
 TABLE_BITS = 16  # of the table of random numbers that a shingle's hash points into
 BATCH_BYTES = 1 << 20
-PIVOTS, BLOCK, COLUMNS = 4, 100, 4096
+PIVOTS, SKETCHES, BLOCK, COLUMNS = 4, 2000, 100, 4096
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _ODD = [int(x) | 1 for x in np.random.default_rng(5).integers(0, 1 << 63, 8 + BANDS * ROWS)]
@@ -116,19 +120,24 @@ def by_bytes(batch_texts: list[str]) -> Iterator[slice]:
         yield slice(begin, len(batch_texts))
 
 
+def table_bits(docs: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (4 * docs - 1).bit_length()))
+
+
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """The idf of each slot (2**DF_BITS numbers, whatever the input) from all documents, and their number."""
+    """The idf of each slot from all documents, and their number."""
     spark = texts.sparkSession
-    chunks = 1 << (DF_BITS - CHUNK_BITS)
+    bits = table_bits(texts.count())
+    chunks = 1 << (bits - CHUNK_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, docs = np.zeros(1 << DF_BITS, np.int64), 0
-        for batch in batches:
+        slots, docs = np.zeros(1 << bits, np.int64), 0
+        for batch in arrow_batches(batches):
             all_texts = batch.column("text").to_pylist()
             docs += len(all_texts)
             for some in by_bytes(all_texts):
                 shingles, _, _ = shingle_sets(all_texts[some])
-                np.add.at(slots, (shingles & np.uint64((1 << DF_BITS) - 1)).astype(np.int64), 1)
+                np.add.at(slots, (shingles & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
         if docs:
             parts = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in slots.reshape(chunks, -1)]
             columns = [pa.array(range(chunks), pa.int32()), pa.array(parts, pa.binary()), pa.array([docs] + [0] * (chunks - 1), pa.int64())]
@@ -164,7 +173,7 @@ def idf_of(slots: np.ndarray, docs: int) -> np.ndarray:
 
 
 def weigh(shingles: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return idf[(shingles & np.uint64((1 << DF_BITS) - 1)).astype(np.int64)] * times.astype(np.float32)
+    return idf[(shingles & np.uint64(len(idf) - 1)).astype(np.int64)] * times.astype(np.float32)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,7 +246,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     both = pairs.join(growing(left), "a").join(growing(right), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             keep = []
             texts_a, texts_b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
             last, last_set = None, None
@@ -281,27 +290,58 @@ def overlaps(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return totals, shared
 
 
-def _linked_in_blocks(members: DataFrame, classes: DataFrame, pivots: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Links (a, b) between members of different classes of a bucket, in a written table."""
-    here = written(
-        members.join(growing(classes), "node", "left").select("band", "key", "node", F.coalesce("class", "node").alias("class")),
-        "near-rest",
-    )
-    # What a pivot isn't linked to needs no second look, so pivots count for nothing here.
-    used = pivots.select("band", "key", F.col("pivot").alias("node"))
-    rest = written(here.join(growing(used), ["band", "key", "node"], "left_anti"), "near-unused")
+def _in_blocks(members: DataFrame, size: int) -> DataFrame:
+    """Members (band, key, node, class and others) of buckets of two classes or more, each once for every pair of blocks that
+    its block is in: block, and the pair's bucket, i, j."""
     open_ = written(
-        rest.groupBy("band", "key")
+        members.groupBy("band", "key")
         .agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high"))
         .where("low != high")
-        .select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")),
+        .select("band", "key", F.ceil(F.col("size") / size).cast("int").alias("blocks")),
         "near-open",
     )
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    dealt = rest.join(growing(open_), ["band", "key"]).withColumn("block", block)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "node", "class", "block", F.xxhash64("band", "key").alias("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    dealt = members.join(growing(open_), ["band", "key"]).withColumn("block", block)
+    pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*members.columns, "block", F.xxhash64("band", "key").alias("bucket"), *pair)
+
+
+def partners(samples: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Which of some members agree with one of another class in half of all samples. Of two blocks, only pairs across count."""
+    found = np.zeros(len(samples), bool)
+    two = len(blocks) and blocks.min() != blocks.max()
+    for at in range(0, len(samples), 256):
+        here = samples[at : at + 256]
+        agree = np.zeros((len(here), len(samples)), np.uint8)
+        for k in range(samples.shape[1]):
+            agree += here[:, k, None] == samples[None, :, k]
+        near = (2 * agree.astype(np.int16) >= samples.shape[1]) & (classes[at : at + 256, None] != classes[None])
+        if two:
+            near &= blocks[at : at + 256, None] != blocks[None]
+        found[at : at + 256] |= near.any(axis=1)
+        found |= near.any(axis=0)
+    return found
+
+
+def _linked_in_blocks(members: DataFrame, classes: DataFrame, pivots: DataFrame, samples: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Links (a, b) between members of different classes of a bucket, in a written table. ``samples``: node, samples."""
+    here = members.join(growing(classes), "node", "left").select("band", "key", "node", F.coalesce("class", "node").alias("class"))
+    # What a pivot isn't linked to needs no second look, so pivots count for nothing here.
+    used = pivots.select("band", "key", F.col("pivot").alias("node"))
+    rest = written(here.join(growing(used), ["band", "key", "node"], "left_anti"), "near-rest")
+
+    def sketch(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        drawn = np.frombuffer(b"".join(group.column("samples").to_pylist()), "<u2").reshape(group.num_rows, -1)
+        _, of = np.unique(np.array(group.column("class").to_pylist(), object), return_inverse=True)
+        kept = partners(drawn, of, group.column("block").to_numpy())
+        return group.select(["band", "key", "node", "class"]).filter(pa.array(kept))
+
+    sketched = _in_blocks(rest, SKETCHES).join(growing(samples), "node")
+    near = sketched.select("band", "key", "node", "class", "samples", "block", "bucket", "i", "j").groupBy("bucket", "i", "j")
+    rest = written(near.applyInArrow(sketch, "band int, key long, node binary, class binary").distinct(), "near-partners")
+    dealt = _in_blocks(rest, BLOCK).select("node", "class", "block", "bucket", "i", "j")
     schema = "a binary, b binary"
 
     def compare(group: pa.Table) -> pa.Table:
@@ -336,6 +376,8 @@ def connected(links: DataFrame) -> DataFrame:
     """node, class of every node that has a link: the least node of its component. Least labels spread over links and are
     then looked up at their own label, so chains shorten by halves."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "cc-links")
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("class"))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("class")), "cc-labels")
     while True:
         heard = (
@@ -359,27 +401,33 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class_doc_id, class_rows of every row, in a written table."""
+    """doc_id, node, class_doc_id, first_node, class_rows of every row, in a written table."""
+    with temporary(docs.sparkSession) as keep:
+        return keep(_near_classes(docs))
+
+
+def _near_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_of("text").alias("text"))
     table_, _ = document_frequencies(rows)
-    idf = spark.sparkContext.broadcast(table_)  # 2**DF_BITS numbers
+    idf = spark.sparkContext.broadcast(table_)  # 2**MOST_BITS numbers at most
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             texts = batch.column("text").to_pylist()
-            keys, empty = [], []
+            keys, drawn = [], []
             for some in by_bytes(texts):
                 shingles, times, offsets = shingle_sets(texts[some])
-                keys.append(band_keys(signatures(shingles, weigh(shingles, times, idf.value), offsets)))
-                empty.append(offsets[1:] == offsets[:-1])
-            keys = [None if e else k.tolist() for k, e in zip(np.concatenate(keys), np.concatenate(empty))] if texts else []
-            columns = [batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "bands"])
+                found = signatures(shingles, weigh(shingles, times, idf.value), offsets)
+                empty = offsets[1:] == offsets[:-1]
+                keys += [None if e else k for e, k in zip(empty.tolist(), band_keys(found).tolist())]
+                drawn += [x.tobytes() for x in (found & np.uint64(0xFFFF)).astype("<u2")]
+            columns = [batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(drawn, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "bands", "samples"])
 
     signed = written(
         rows.select("doc_id", "text", node_of(F.col("text")).alias("node")).mapInArrow(
-            sign, "doc_id long, node binary, bands array<long>"
+            sign, "doc_id long, node binary, bands array<long>, samples binary"
         ),
         "near-signed",
     )
@@ -389,27 +437,32 @@ def near_classes(docs: DataFrame) -> DataFrame:
         entries.groupBy("band", "key").count().where("count > 1").select("band", "key"), "near-buckets"
     )
     members = written(entries.join(growing(shared_keys), ["band", "key"]), "near-members")
-    wanted = members.select(F.col("node").alias("w_node"), F.col("first_doc").alias("w_doc")).distinct()
-    same = rows.doc_id.eqNullSafe(F.col("w_doc")) & (node_of(rows.text) == F.col("w_node"))
-    texts = written(
-        rows.join(growing(wanted), same).select(F.col("w_node").alias("node"), "text").dropDuplicates(["node"]), "near-texts"
-    )
-    salt = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-    pivots = written(
-        members.groupBy("band", "key", salt.alias("salt")).agg(F.min("node").alias("pivot")).select("band", "key", "pivot"),
-        "near-pivots",
-    )
-    pairs = written(
-        members.join(growing(pivots), ["band", "key"])
-        .where("node != pivot")
-        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        .distinct(),
-        "near-pairs",
-    )
-    links = _verified(pairs, texts, idf)
-    first = connected(links)
-    links = links.union(_linked_in_blocks(members.select("band", "key", "node"), first, pivots, texts, idf))
-    classes = connected(links)
+    if members.isEmpty():  # no two different texts meet
+        classes = members.select("node", F.col("node").alias("class"))
+    else:
+        wanted = members.select(F.col("node").alias("w_node"), F.col("first_doc").alias("w_doc")).distinct()
+        same = rows.doc_id.eqNullSafe(F.col("w_doc")) & (node_of(rows.text) == F.col("w_node"))
+        texts = written(
+            rows.join(growing(wanted), same).select(F.col("w_node").alias("node"), "text").dropDuplicates(["node"]), "near-texts"
+        )
+        drawn = signed.select("node", "samples").join(growing(members.select("node").distinct()), "node", "left_semi")
+        samples = written(drawn.dropDuplicates(["node"]), "near-samples")
+        salt = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+        pivots = written(
+            members.groupBy("band", "key", salt.alias("salt")).agg(F.min("node").alias("pivot")).select("band", "key", "pivot"),
+            "near-pivots",
+        )
+        pairs = written(
+            members.join(growing(pivots), ["band", "key"])
+            .where("node != pivot")
+            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+            .distinct(),
+            "near-pairs",
+        )
+        links = _verified(pairs, texts, idf)
+        first = connected(links)
+        more = _linked_in_blocks(members.select("band", "key", "node"), first, pivots, samples, texts, idf)
+        classes = first if more.isEmpty() else connected(links.union(more))
     of_rows = written(
         signed.select("doc_id", "node").join(growing(classes), "node", "left").select("doc_id", "node", F.coalesce("class", "node").alias("class")),
         "near-rows",

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from loomstat.llm import near_dedup as nd
+from loomstat.llm import shared
 
 VOCABULARY = [f"{a}{b}" for a in "bcdfgklmnpst" for b in ("a", "en", "or", "ist", "ung", "é")]
 
@@ -82,9 +83,9 @@ def test_samples_agree_as_often_as_weighted_jaccard():
 def test_document_frequencies(spark, documents):
     texts = [t for _, t in corpus()]
     idf, n = nd.document_frequencies(documents(list(enumerate(texts))))
-    slots = np.zeros(1 << nd.DF_BITS)
+    slots = np.zeros(1 << nd.LEAST_BITS)
     for t in texts:
-        np.add.at(slots, (nd.shingle_sets([t])[0] & np.uint64((1 << nd.DF_BITS) - 1)).astype(int), 1)
+        np.add.at(slots, (nd.shingle_sets([t])[0] & np.uint64((1 << nd.LEAST_BITS) - 1)).astype(int), 1)
     assert n == len(texts) and np.allclose(idf, nd.idf_of(slots, n))
     assert idf.min() >= 1 and idf.max() <= 2**0.5 + 1e-6
 
@@ -103,7 +104,7 @@ def test_classes_match_brute_force(spark, documents, odd):
 
 def test_overlaps_match_pairs():
     texts = [t for _, t in corpus()[:280]] + ["a b a b a b a b a b a b", "", "a b a b a b a b"]
-    idf = np.random.default_rng(1).uniform(1, 1.4, 1 << nd.DF_BITS).astype(np.float32)
+    idf = np.random.default_rng(1).uniform(1, 1.4, 1 << nd.LEAST_BITS).astype(np.float32)
     totals, shared = nd.overlaps(texts, idf)
     for i in range(0, len(texts), 7):
         for j in range(len(texts)):
@@ -140,3 +141,68 @@ def test_keep_first(spark, documents, odd):
     assert kept.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(k) for k in (1, 3, None, 5, 6, 7, 8, 9, 21))
     assert nd.keep_first(documents([])).count() == 0 and nd.find_classes(documents([])).count() == 0
+
+
+def plain_sets(texts):
+    """Weighted shingle sets without any of the module's functions: tuples of words, exact document frequencies."""
+    counts = []
+    for t in texts:
+        w = (t or "").lower().split()
+        counts.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else []))
+    df = Counter(s for c in counts for s in c)
+    n = len(texts)
+    return [{s: m * (1 + np.log(n / df[s]) / np.log(n)) ** 0.5 for s, m in c.items()} for c in counts]
+
+
+def plain_jaccard(a, b):
+    shared = sum(min(w, b[s]) for s, w in a.items() if s in b)
+    return shared / (sum(a.values()) + sum(b.values()) - shared) if a and b else 0.0
+
+
+@pytest.mark.parametrize("sketches, block", [(2000, 100), (30, 10)])
+def test_recall_by_similarity(spark, documents, monkeypatch, sketches, block):
+    """Pairs of an independent brute force, by their similarity: those at the threshold share a class."""
+    monkeypatch.setattr(nd, "SKETCHES", sketches)
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "PIVOTS", 2)
+    rows = corpus(7)[:330]
+    got = {r["doc_id"]: r["class_doc_id"] for r in nd.find_classes(documents(rows)).collect()}
+    sets = plain_sets([t for _, t in rows])
+    bands, apart = {0.8: [0, 0], 0.85: [0, 0], 0.9: [0, 0]}, 0
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows[:i]):
+            similarity = plain_jaccard(sets[i], sets[j])
+            if similarity >= 0.8:
+                band = bands[max(x for x in bands if similarity >= x)]
+                band[0] += 1
+                band[1] += got[a] == got[b]
+            apart += similarity < 0.3 and got[a] == got[b]
+    for all_, found in bands.values():
+        assert all_ > 5 and found >= 0.99 * all_, bands
+    assert apart == 0
+
+
+def test_partners_are_found_by_samples():
+    rng = np.random.default_rng(4)
+    samples = rng.integers(0, 1 << 16, (600, 48)).astype(np.uint16)
+    samples[7, :30] = samples[500, :30]
+    samples[8, :20] = samples[501, :20]
+    classes, blocks = np.arange(600), np.arange(600) % 2
+    assert np.flatnonzero(nd.partners(samples, classes, np.zeros(600, int))).tolist() == [7, 500]
+    assert np.flatnonzero(nd.partners(samples, classes, blocks)).tolist() == [7, 500]
+    classes[7] = classes[500]
+    assert not nd.partners(samples, classes, blocks).any()
+    classes[7], blocks[7] = 7, blocks[500]
+    assert not nd.partners(samples, classes, blocks).any()
+
+
+def test_the_table_grows_with_the_input():
+    assert [nd.table_bits(n) for n in (0, 1000, 1 << 18, (1 << 18) + 1, 10**7, 10**12)] == [20, 20, 20, 21, 24, 24]
+
+
+def test_only_the_result_stays(spark, documents, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
+    assert nd.find_classes(documents(corpus()[:60])).count() == 60
+    assert [x.split("-")[:2] for x in os.listdir(tmp_path / "loomstat")] == [["near", "classes"]]
