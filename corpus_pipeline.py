@@ -22,12 +22,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """All documents, without multi-line chunks that occur before; n_chars is that of the text that is left."""
     from pyspark.sql import functions as F
 
-    cleaned = line_dedup.drop_repeated_chunks(docs)
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() == "lines_removed"}  # the operator's column has that name
+    cleaned = line_dedup.drop_repeated_chunks(docs.withColumnsRenamed(own))
     removed = F.col("lines_removed") > 0
     if "n_chars" in docs.columns:
         count = F.when(removed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         cleaned = cleaned.withColumn("n_chars", count)
-    return cleaned.select(*docs.columns)
+    return cleaned.select(*[F.col(own[c]).alias(c) if c in own else F.col(c) for c in docs.columns])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

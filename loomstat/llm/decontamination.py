@@ -1,18 +1,19 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 Native: DataFrame functions only. Words are maximal runs of letters and digits, lower-cased; a shingle is the hash of five
-words in a row. Items are partitioned by size: class c holds items of 2**(c-1) < n <= 2**c distinct shingles. For a class,
+words in a row; an item of one to four words is one shingle of them all, and documents then have shingles of as many words
+as well, behind those of five. Items are partitioned by size: class c holds items of 2**(c-1) < n <= 2**c distinct shingles. For a class,
 documents are looked at in windows of 2**(c+1) shingles, every 2**c, so that an item lies whole in one of them and its
 Jaccard similarity with that window is high however long the document is. Item and window are candidates if one of
 ``samples`` MinHashes agrees (bands of one row: at containment 0.8 a pair is missed about once in 10**6). A window can agree
 only if it holds the shingle that gives an item's MinHash, so only windows with such a shingle are hashed. Candidates are
 verified by the share of the item's distinct shingles that occur in the document.
 
-The items' MinHash shingles are broadcast only if they're few (``BROADCAST`` rows, counted first); otherwise the joins
-are shuffled. Documents are never compared with each other.
+The items' MinHash shingles are broadcast only if they're few (``BROADCAST`` rows, counted first), and so are their sets
+(``BROADCAST`` shingles); otherwise the joins are shuffled. Documents are never compared with each other.
 
 Defined results
-* an item of fewer than five words has no shingle and is never found; nor is anything found in such a document
+* an item of fewer than five words is found where these words stand in a row; one without words is never found
 * null text: empty. Null ids are kept. Repeated rows (same doc_id, same text) give one result row per item
 * an empty table on either side: no rows. Other columns are ignored
 """
@@ -27,16 +28,25 @@ from loomstat.llm.shared import growing, text_of, written
 WORDS, LEAST_TENTHS, SAMPLES, BROADCAST = 5, 8, 64, 200_000
 
 
-def with_shingles(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """``rows`` and ``out``: hashes of all five-word shingles in order (array<long>)."""
+def with_shingles(rows: DataFrame, text: str, out: str, short: tuple[int, ...] | None = ()) -> DataFrame:
+    """``rows`` and ``out``: hashes of all five-word shingles in order, then of those of each size in ``short`` (array<long>).
+    With None for ``short`` a text of fewer words has one shingle of them all."""
     words = F.filter(F.split(F.lower(text_of(text)), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
     # A one-element explode keeps the array from being computed again for each shingle.
     held = rows.withColumn("__words", F.explode(F.array(words)))
     word = lambda i, k: F.get("__words", i + k)
     n = F.size("__words")
-    starts = F.when(n >= WORDS, F.sequence(F.lit(0), n - WORDS)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[word(i, k) for k in range(WORDS)]))
-    return held.withColumn(out, F.explode(F.array(hashes))).drop("__words")
+    none = F.array().cast("array<int>")
+
+    def of_size(size: int, starts: Column) -> Column:  # words past the end are null, which the hash leaves out
+        return F.transform(starts, lambda i: F.xxhash64(*[word(i, k) for k in range(size)]))
+
+    if short is None:
+        all_ = of_size(WORDS, F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - WORDS, F.lit(0)))).otherwise(none))
+    else:
+        parts = [of_size(size, F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(none)) for size in (WORDS, *short)]
+        all_ = F.concat(*parts) if short else parts[0]
+    return held.withColumn(out, F.explode(F.array(all_))).withColumn("__n", F.size("__words")).drop("__words")
 
 
 def min_hash(shingles: Column, sample: Column) -> Column:
@@ -52,9 +62,9 @@ def find(docs: DataFrame, items: DataFrame, samples: int = SAMPLES) -> DataFrame
 
 
 def _find(docs: DataFrame, items: DataFrame, samples: int) -> DataFrame:
-    shingled = with_shingles(items.select("item_id", "text").distinct(), "text", "all")
+    shingled = with_shingles(items.select("item_id", "text").distinct(), "text", "all", None)
     sets = written(
-        shingled.select("item_id", F.array_distinct("all").alias("shingles"))
+        shingled.select("item_id", F.array_distinct("all").alias("shingles"), F.least("__n", F.lit(WORDS)).alias("words"))
         .where(F.size("shingles") > 0)
         .withColumn("class", F.ceil(F.log2(F.size("shingles"))).cast("int"))
         .withColumn("item_key", F.xxhash64("item_id", "shingles")),
@@ -67,12 +77,14 @@ def _find(docs: DataFrame, items: DataFrame, samples: int) -> DataFrame:
         .select("item_key", "class", "sample", "m.value", "m.shingle"),
         "item-signatures",
     )
-    few = signatures.count() <= BROADCAST
-    small = F.broadcast if few else (lambda df: df)
+    plain = lambda df: df
+    small = F.broadcast if signatures.count() <= BROADCAST else plain
+    few_sets = F.broadcast if (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST else plain
+    short = tuple(sorted(r["words"] for r in sets.select("words").distinct().collect() if r["words"] < WORDS))  # four at most
 
     keyed = docs.select("doc_id", text_of("text").alias("text"))
     keyed = keyed.withColumn("key", F.xxhash64("text"))
-    places = with_shingles(keyed, "text", "all").select("doc_id", "key", F.posexplode("all").alias("at", "shingle"))
+    places = with_shingles(keyed, "text", "all", short).select("doc_id", "key", F.posexplode("all").alias("at", "shingle"))
     marks = signatures.select("shingle", "class").distinct()
     step = F.expr("shiftleft(1, class)")
     window = F.floor(F.col("at") / step).cast("int")
@@ -88,7 +100,7 @@ def _find(docs: DataFrame, items: DataFrame, samples: int) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key"))
     looked = written(keyed.join(growing(hit), same).select("doc_id", "key", "text", "windows").dropDuplicates(["doc_id", "key"]), "hit-documents")
 
-    views = with_shingles(looked, "text", "all").select("doc_id", "key", "all", F.explode("windows").alias("w"))
+    views = with_shingles(looked, "text", "all", short).select("doc_id", "key", "all", F.explode("windows").alias("w"))
     width = F.expr("shiftleft(1, w.class)")
     slices = views.select(
         "doc_id",
@@ -107,9 +119,8 @@ def _find(docs: DataFrame, items: DataFrame, samples: int) -> DataFrame:
         .agg(F.collect_list("item_key").alias("items"))
     )
     same = F.col("doc_id").eqNullSafe(F.col("pair_id")) & (F.col("key") == F.col("pair_key"))
-    held = with_shingles(looked.select("doc_id", "key", "text").join(growing(written(pairs, "pairs")), same), "text", "all")
+    held = with_shingles(looked.select("doc_id", "key", "text").join(growing(written(pairs, "pairs")), same), "text", "all", short)
     candidates = held.select("doc_id", "key", "all", F.explode("items").alias("item_key"))
-    few_sets = F.broadcast if few else (lambda df: df)
     return (
         candidates.join(few_sets(sets.select("item_key", "item_id", "shingles")), "item_key")
         .select(
@@ -132,18 +143,20 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-WITH dw AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents
-), ds AS (
-  SELECT DISTINCT doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 5)
-), iw AS (
-  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+WITH iw AS (
+  SELECT item_id, w, least(len(w), 5) AS k
+  FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0
 ), its AS (
-  SELECT DISTINCT item_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw WHERE len(w) >= 5)
+  SELECT DISTINCT item_id, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS s
+  FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM iw)
+), dw AS (
+  SELECT doc_id, k, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
+  FROM documents, (SELECT DISTINCT k FROM iw)
+), ds AS (
+  SELECT DISTINCT doc_id, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM dw WHERE len(w) >= k)
 ), n AS (SELECT item_id, count(*) AS n_shingles FROM its GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_found, n_shingles, count(*) / n_shingles AS containment
-FROM ds JOIN its USING (s) JOIN n USING (item_id)
+FROM ds JOIN its USING (k, s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING count(*) * 10 >= n_shingles * 8
 """

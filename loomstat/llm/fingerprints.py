@@ -45,18 +45,12 @@ def fingerprint(text: str | None) -> str:
     return digest(canonical(text or ""))
 
 
-@F.pandas_udf(T.StringType())
-def fingerprint_column(texts: pd.Series) -> pd.Series:
-    """Fingerprint of each text; null texts count as empty."""
-    return texts.map(fingerprint, na_action=None)
-
-
 def exact_classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """``prints`` and class_doc_id: the least doc_id among documents with the same canonical bytes.
 
     ``prints`` (doc_id, fingerprint and any other columns) must be a written table of all ``docs``. Texts of fingerprints that occur once
-    aren't shuffled: a bitmap over fingerprint prefixes (16 bits a document at first, 32 MB at most; false positives
-    cost time, never results) selects the rows whose bytes are compared.
+    aren't shuffled: a bitmap over fingerprint prefixes (16 bits a document at first, 32 MB at most, and twice that as it
+    comes to the driver; false positives cost time, never results) selects the rows whose bytes are compared.
     """
     spark = docs.sparkSession
     repeated = prints.groupBy("fingerprint").count().where("count > 1")
@@ -68,8 +62,8 @@ def exact_classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("mask"))
     )
     bitmap = np.zeros(1 << (bits - 5), np.uint32)
-    marked = words.toPandas()
-    bitmap[marked["word"].to_numpy(np.int64)] = marked["mask"].to_numpy(np.int64).astype(np.uint32)
+    marked = words.select(F.col("word").cast("int"), (F.col("mask") - (1 << 31)).cast("int").alias("mask")).toArrow()
+    bitmap[marked.column("word").to_numpy()] = marked.column("mask").to_numpy().view(np.uint32) ^ np.uint32(1 << 31)
     shared = spark.sparkContext.broadcast(bitmap)
 
     def maybe_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +82,7 @@ def exact_classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
     groups = written(
         rows.groupBy("fingerprint", "form")
         .agg(F.min("doc_id").alias("class_doc_id"), F.count("*").alias("rows"))
-        .select("fingerprint", F.md5("form").alias("form_md5"), F.length("form").alias("form_length"), "class_doc_id", "rows"),
+        .select("fingerprint", "class_doc_id", "rows"),
         "fingerprint-groups",
     )
     texts = groups.groupBy("fingerprint").agg(
@@ -192,7 +186,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     ordered = (
         docs.select("doc_id", text_of("text").alias("text"))
-        .repartitionByRange(partitions(spark), F.col("doc_id").desc())
+        .repartitionByRange(partitions(spark), F.col("doc_id").desc(), F.substring("text", 1, 32))  # a repeated id is split
         .sortWithinPartitions(F.col("doc_id").desc(), "text")
     )
     all_rows = written(ordered.mapInArrow(_stream, EDITED), "fingerprints")

@@ -16,7 +16,7 @@ Defined results
 * chunks of fewer than ``min_lines`` lines are never removed
 * repeated rows (same doc_id, same text) get equal results: they count as one document
 * a null doc_id stands before all others. Empty table: no rows
-* all other columns stay as they are; names starting with ``__ld_`` are used inside
+* all other columns stay as they are, but a column ``lines_removed`` is replaced; names starting with ``__ld_`` are used inside
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def drop_repeated_chunks(docs: DataFrame, divisor: int = 3, min_lines: int = 2)
     text = F.array_join(F.transform(kept, lambda c: c["text"]), "\n")
     count = F.aggregate(F.transform(lost, lambda c: c["n_lines"]), F.lit(0), lambda s, n: s + n)
     return joined.select(
-        *[F.when(unmarked, F.col("__ld_whole")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[F.when(unmarked, F.col("__ld_whole")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns if c.lower() != "lines_removed"],
         F.when(unmarked, 0).otherwise(count).cast("long").alias("lines_removed"),
     )
 
@@ -138,7 +138,7 @@ def drop_repeated_passages(docs: DataFrame, more_than: int = 50) -> DataFrame:
     text = F.when(F.size("__ld_runs") > 0, F.array_join(F.filter("__ld_lines", stays), "\n")).otherwise(F.col("text"))
     count = F.aggregate("__ld_runs", F.lit(0), lambda n, run: n + run["b"] - run["a"])
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c.lower() != "lines_removed"],
         F.coalesce(count, F.lit(0)).cast("long").alias("lines_removed"),
     )
 

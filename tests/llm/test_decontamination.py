@@ -11,17 +11,17 @@ def words(n):
     return [rng.choice(VOCABULARY) for _ in range(n)]
 
 
-def shingles(text):
+def shingles(text, size=5):
     w = re.findall(r"[^\W_]+", (text or "").lower())
-    return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    return [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]
 
 
 def brute(docs, items):
     out = set()
     for doc_id, text in docs:
-        inside = set(shingles(text))
         for item_id, item in items:
-            own = set(shingles(item))
+            size = min(5, len(shingles(item, 1)))
+            own, inside = set(shingles(item, size)) if size else set(), set(shingles(text, size))
             n = len(own & inside)
             if own and n * 10 >= len(own) * 8:
                 out.add((doc_id, item_id, n, len(own)))
@@ -75,3 +75,22 @@ def test_empty_tables(spark, documents):
     assert bd.find(documents([(1, "a b c d e f")]), none).count() == 0
     assert bd.find(documents([]), one).count() == 0
     assert bd.find(documents([(1, "x A b, c d E f y"), (1, "x A b, c d E f y")]), one).count() == 1
+
+
+def test_items_of_few_words(spark, documents):
+    items = [(1, "Red fox"), (2, "fox"), (3, "a b c d"), (4, "a b c d e"), (5, "!"), (6, "Red fox")]
+    docs = [(1, "the red, FOX ran"), (2, "fox red"), (3, "x a b c d y"), (4, "a b c"), (5, "red"), (6, "a b c d e"), (7, None), (8, "red fox")]
+    got = {tuple(r)[:4] for r in bd.find(documents(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items)
+    assert {(d, i) for d, i, *_ in got} == {(1, 1), (1, 2), (1, 6), (2, 2), (3, 3), (6, 3), (6, 4), (8, 1), (8, 2), (8, 6)}
+
+
+def test_sql_finds_items_of_few_words(spark, documents):
+    import duckdb
+
+    items = [(1, "Red fox"), (2, "fox"), (4, "a b c d e"), (5, "!")]
+    docs = [(1, "the red, FOX ran"), (2, "fox red"), (6, "a b c d e f"), (7, "")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents AS SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in docs) + ") AS t(doc_id, text)")
+    con.sql("CREATE TABLE benchmark AS SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in items) + ") AS t(item_id, text)")
+    assert {r[:4] for r in con.sql(bd.ORACLE).fetchall()} == brute(docs, items)

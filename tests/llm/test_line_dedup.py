@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from loomstat.llm import line_dedup
 
@@ -151,3 +152,10 @@ def test_passages_match_brute_force(spark, documents, odd):
     assert len(out.collect()) == len(odd) + 1
     assert next(r for r in out.collect() if r["doc_id"] == 1)["text"] is None
     assert line_dedup.drop_repeated_passages(documents([])).count() == 0
+
+
+def test_a_column_of_the_result_name_is_replaced(spark, documents, tmp_path):
+    df = documents([(1, "a\nb"), (2, "c")]).withColumn("Lines_Removed", F.lit(7))
+    for k, f in enumerate((line_dedup.drop_repeated_chunks, line_dedup.drop_repeated_passages)):
+        f(df).write.parquet(str(tmp_path / str(k)))
+        assert {r["lines_removed"] for r in spark.read.parquet(str(tmp_path / str(k))).collect()} == {0}
