@@ -29,7 +29,12 @@ def place(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: what is read more than once is computed once, and survives lost executors."""
+    """``df`` as a written table: what is read more than once is computed once, and survives lost executors. A frame that this
+    function returned is given back as it is."""
+    if getattr(df, "_loomstat_written", False):
+        return df
     path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    again._loomstat_written = True
+    return again
