@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dir: dict[str, str] = {}
-_temporary: list[dict[int, str]] = []
+_temporary: list[dict[int, tuple[DataFrame, str]]] = []  # frames are held, so that no number is used again
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +39,7 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     if _temporary:
-        _temporary[-1][id(again)] = path
+        _temporary[-1][id(again)] = again, path
     return again
 
 
@@ -56,7 +56,7 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
         yield keep
     finally:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _temporary.pop().values():
+        for _, path in _temporary.pop().values():
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(conf).delete(place, True)
 
