@@ -109,16 +109,15 @@ class Regression:
     by dual coordinate ascent. Each later call of ``fit`` starts from the last one's solution, scaled."""
 
     def __init__(self, features: list[np.ndarray], labels: np.ndarray) -> None:
-        self.features, self.signs = [f.astype(np.intp) for f in features], np.where(labels == 1, 1.0, -1.0).tolist()
+        self.features, self.signs = features, np.where(labels == 1, 1.0, -1.0).tolist()
         self.ratios = log_ratios(features, labels)
-        self.values = [self.scaled(f) for f in features]
-        self.norms = [float(v @ v) + 1 for v in self.values]
+        self.scales = [self.scale(f) for f in features]  # scaled ratios themselves would take memory for each row
         self.w, self.b, self.cost = np.zeros(1 << BITS), 0.0, 0.0
         self.duals = [0.0] * len(features)
 
-    def scaled(self, feature: np.ndarray) -> np.ndarray:
-        r = self.ratios[feature]
-        return r / max(1e-9, math.sqrt(float(r @ r)))
+    def scale(self, feature: np.ndarray) -> float:
+        r = self.ratios.take(feature)
+        return 1 / max(1e-9, math.sqrt(float(r @ r)))
 
     def fit(self, cost: float, passes: int = PASSES) -> Regression:
         if self.cost:
@@ -127,10 +126,10 @@ class Regression:
         self.cost, rng, log = cost, np.random.default_rng(0), math.log
         for _ in range(passes):
             for i in rng.permutation(len(self.features)).tolist():
-                f, v, s, n = self.features[i], self.values[i], self.signs[i], self.norms[i]
+                f, scale, s, n = self.features[i], self.scales[i], self.signs[i], 2.0  # n: squared length, the bias included
                 old = self.duals[i]
-                there = self.w.take(f)
-                z = s * (float(there @ v) + self.b)
+                there, r = self.w.take(f), self.ratios.take(f)
+                z = s * (float(there @ r) * scale + self.b)
                 a = min(max(old, 1e-6 * cost), cost * (1 - 1e-6))
                 for _ in range(4):  # Newton steps for one dual variable, which stays inside (0, cost)
                     step = (z + n * (a - old) + log(a / (cost - a))) / (n + cost / (a * (cost - a)))
@@ -138,14 +137,14 @@ class Regression:
                 self.duals[i] = a
                 change = (a - old) * s
                 if abs(change) > 1e-3 * cost:
-                    self.w[f] = there + change * v
+                    self.w[f] = there + (change * scale) * r
                     self.b += change
                 else:
                     self.duals[i] = old
         return self
 
     def margins(self, features: list[np.ndarray]) -> np.ndarray:
-        return np.array([float(self.w[f] @ self.scaled(f)) + self.b for f in features])
+        return np.array([float(self.w.take(f) @ self.ratios.take(f)) * self.scale(f) + self.b for f in features])
 
 
 def calibration(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -179,7 +178,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Cl
         used, out = np.flatnonzero(folds != fold), np.flatnonzero(folds == fold)
         if not len(out) or len(set(labels[used].tolist())) < 2:
             continue
-        model = Regression([features[i] for i in used], labels[used])
+        model = Regression([features[i] for i in used], labels[used])  # rows are shared, not copied
         for cost in COSTS:
             left_out[cost][out] = model.fit(cost).margins([features[i] for i in out])
     best = (math.inf, COSTS[0], 1.0, 0.0)
@@ -210,8 +209,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, mod: int = 3,
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("fold", "doc_id", "label", "grams")))]
         found.sort()  # the same sums in whatever order the rows come
-        folds, _, marks, features = zip(*found) if found else ([], [], [], [])
-        got = fit([np.frombuffer(g, np.int32) for g in features], np.array(marks, float), np.array(folds))
+        folds, _, marks, features = map(list, zip(*found)) if found else ([], [], [], [])
+        del found
+        for k, g in enumerate(features):  # one at a time, so that bytes and places aren't held together
+            features[k] = np.frombuffer(g, np.int32).astype(np.intp)
+        got = fit(features, np.array(marks, float), np.array(folds))
         yield pa.RecordBatch.from_arrays([pa.array([got.weights.tobytes()], pa.binary()), pa.array([got.bias])], ["weights", "bias"])
 
     features = rows.mapInArrow(extract, "doc_id long, label int, grams binary").groupBy("doc_id", "label").agg(F.min("grams").alias("grams"))
