@@ -42,6 +42,8 @@ WORDS, BANDS, ROWS, THRESHOLD = 5, 12, 4, 0.8
 LEAST_BITS, MOST_BITS, CHUNK_BITS = 20, 24, 14  # of the table of document frequencies, and of its parts
 TABLE_BITS = 16  # of the table of random numbers that a shingle's hash points into
 BATCH_BYTES = 1 << 20
+PIECE = 1 << 18  # bytes of a text, or words, that are hashed at a time
+BASE = 0x100000001B3
 PIVOTS, SKETCHES, BLOCK, COLUMNS = 4, 2000, 100, 4096
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -55,38 +57,63 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of some bytes begins, and its hash: the sum of its letters times powers of BASE, modulo 2**64. It's
+    summed PIECE bytes at a time, words across a border part by part, so little is held beside the words themselves."""
+    begins, sums, since = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], -1  # since: where the word at a border began
+    for low in range(0, len(data), PIECE):
+        here = data[low : low + PIECE]
+        at = np.flatnonzero(~_SPACE[here])
+        if not len(at):
+            since = -1
+            continue
+        first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        lengths = np.diff(np.append(first, len(at)))
+        place = np.arange(len(at)) - np.repeat(first, lengths)
+        found = np.add.reduceat((here[at].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[place], first)
+        begin = at[first] + low
+        if since >= 0 and begin[0] == low:
+            sums[-1][-1:] += found[:1] * np.uint64(pow(BASE, low - since, 1 << 64))
+            begin, found = begin[1:], found[1:]
+        else:
+            since = -1
+        if len(begin):
+            begins.append(begin)
+            sums.append(found)
+            since = int(begin[-1])
+        if at[-1] != len(here) - 1:
+            since = -1
+    return np.concatenate(begins), _mixed(np.concatenate(sums))
+
+
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of at most 256 texts: distinct 56-bit shingle hashes text by text in ascending order, how often each occurs, and
     the place of each text's first shingle (and the end)."""
     raws = [t.lower().encode() + b" " for t in texts]
-    data = np.frombuffer(b"".join(raws), np.uint8)
     ends = np.cumsum([len(r) for r in raws])
-    inside = ~_SPACE[data]
-    edges = np.diff(inside.astype(np.int8), prepend=0)
-    begin, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    del raws
     with np.errstate(over="ignore"):
-        if not len(begin):
-            keys = np.zeros(0, np.uint64)
-        else:
-            letters = data[inside].astype(np.uint64) + np.uint64(1)
-            lengths = stop - begin
-            first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            place = np.arange(len(letters)) - np.repeat(first, lengths)
-            powers = _powers(int(lengths.max()))
-            words = _mixed(np.add.reduceat(letters * powers[place], first))
-            of_text = np.searchsorted(ends, begin, side="right")
-            n = np.bincount(of_text, minlength=len(texts))
-            starts = np.concatenate([[0], np.cumsum(n)])
-            keys = []
-            if len(words) >= WORDS:
-                hashes = sum(words[k : len(words) - WORDS + 1 + k] * np.uint64(_ODD[k]) for k in range(WORDS))
-                whole = of_text[: len(hashes)] == of_text[WORDS - 1 :]
-                keys.append((of_text[: len(hashes)][whole].astype(np.uint64) << np.uint64(56)) | (_mixed(hashes[whole]) >> np.uint64(8)))
-            short = np.flatnonzero((n > 0) & (n < WORDS))
-            if len(short):
-                one = [sum(int(w) * _ODD[k] for k, w in enumerate(words[starts[i] : starts[i + 1]])) & (1 << 64) - 1 for i in short]
-                keys.append((short.astype(np.uint64) << np.uint64(56)) | (_mixed(np.array(one, np.uint64)) >> np.uint64(8)))
-            keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        begin, words = _word_hashes(data)
+        of_text = np.searchsorted(ends, begin, side="right").astype(np.uint8)
+        del begin
+        n = np.bincount(of_text, minlength=len(texts))
+        starts = np.concatenate([[0], np.cumsum(n)])
+        keys = [np.zeros(0, np.uint64)]
+        last = len(words) - WORDS + 1
+        for low in range(0, last, PIECE):
+            high = min(low + PIECE, last)
+            hashes = sum(words[low + k : high + k] * np.uint64(_ODD[k]) for k in range(WORDS))
+            of = of_text[low:high]
+            whole = of == of_text[low + WORDS - 1 : high + WORDS - 1]
+            keys.append((of[whole].astype(np.uint64) << np.uint64(56)) | (_mixed(hashes[whole]) >> np.uint64(8)))
+        short = np.flatnonzero((n > 0) & (n < WORDS))
+        if len(short):
+            one = [sum(int(w) * _ODD[k] for k, w in enumerate(words[starts[i] : starts[i + 1]])) & (1 << 64) - 1 for i in short]
+            keys.append((short.astype(np.uint64) << np.uint64(56)) | (_mixed(np.array(one, np.uint64)) >> np.uint64(8)))
+        del words, of_text
+        keys = np.concatenate(keys)
+        keys.sort()
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     times = np.diff(np.append(new, len(keys)))
     distinct = keys[new]
@@ -101,7 +128,7 @@ def _powers(n: int) -> np.ndarray:
     global _power_table
     if len(_power_table) < n:
         size = 1 << max(8, (n - 1).bit_length())
-        steps = np.full(size, 0x100000001B3, np.uint64)
+        steps = np.full(size, BASE, np.uint64)
         steps[0] = 1
         with np.errstate(over="ignore"):
             _power_table = np.cumprod(steps)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -206,3 +207,26 @@ def test_only_the_result_stays(spark, documents, tmp_path, monkeypatch):
     monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
     assert nd.find_classes(documents(corpus()[:60])).count() == 60
     assert [x.split("-")[:2] for x in os.listdir(tmp_path / "loomstat")] == [["near", "classes"]]
+
+
+@pytest.mark.parametrize("piece", [1, 5, 64])
+def test_words_across_pieces(monkeypatch, piece):
+    rng = random.Random(piece)
+    texts = ["", "a b", "x" * 300 + " y", *(" ".join("é" * rng.randint(1, 90) for _ in range(rng.randint(1, 30))) for _ in range(20))]
+    want = nd.shingle_sets(texts)
+    monkeypatch.setattr(nd, "PIECE", piece)
+    for x, y in zip(nd.shingle_sets(texts), want):
+        assert x.tolist() == y.tolist()
+
+
+@pytest.mark.parametrize("longest", [1, 12, 1 << 22])
+def test_a_long_text_takes_little_memory(longest):
+    rng = random.Random(5)
+    text = "z" * longest if longest > 100 else " ".join("z" * rng.randint(1, longest) + rng.choice("abcdefgh") for _ in range((8 << 20) // (longest + 3)))
+    nd.shingle_sets([text[: 1 << 20]])
+    tracemalloc.start()
+    try:
+        nd.shingle_sets([text])
+        assert tracemalloc.get_traced_memory()[1] < 25 * len(text)  # a word has two bytes or more; its hash, place and shingle have eight each
+    finally:
+        tracemalloc.stop()
