@@ -34,7 +34,7 @@ def paired(data: Dataset, columns: list[str] | None = None) -> DataFrame:
     else:
         kinds = {f.name: f.dataType for f in data.rows.schema.fields}
         cell = lambda n: _plain(typed_cell(F.col(f"`{n}`"), kinds[n]))
-    wide = data.rows.select(F.monotonically_increasing_id().alias("row_id"), *[cell(n).alias(f"c{k}") for k, n in enumerate(names)])
+    wide = data.dealt().select(F.monotonically_increasing_id().alias("row_id"), *[cell(n).alias(f"c{k}") for k, n in enumerate(names)])
     each = [
         F.struct(F.lit(names[i]).alias("left"), F.lit(names[j]).alias("right"), F.col(f"c{i}").alias("l"), F.col(f"c{j}").alias("r"))
         for i, j in combinations(range(len(names)), 2)

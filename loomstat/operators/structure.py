@@ -37,7 +37,7 @@ def as_variants(data: Dataset) -> DataFrame:
             F.coalesce(c["label"], F.lit("null"))
         )
         parts = [F.concat(F.lit(_json_key(n) + ":"), let(cell(n), raw)) for n in data.rows.columns]
-        return data.rows.select(F.parse_json(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))).alias("v"))
+        return data.dealt().select(F.parse_json(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))).alias("v"))
     fields = [normalised(F.col(f"`{f.name}`"), f.dataType)[0].alias(f.name) for f in data.rows.schema.fields]
     return data.rows.select(F.to_variant_object(F.struct(*fields)).alias("v"))
 

@@ -8,6 +8,7 @@ is the text of a scalar, ``canon`` a text that differs for different values of a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,13 @@ class Dataset:
     format: str = "parquet"
     path: str = ""
     names: list[str] = field(default_factory=list)
+    deal: Callable[[], DataFrame] | None = None
+
+    def dealt(self) -> DataFrame:
+        """The rows for work on the whole table: in the same order, but read by many tasks where the source allows it."""
+        if self.deal:
+            self.rows, self.deal = self.deal(), None
+        return self.rows
 
     def columns(self) -> list[str]:
         """Sorted union of keys over all rows."""
@@ -41,7 +49,7 @@ class Dataset:
         return self.names
 
     def count(self) -> int:
-        return self.rows.count()
+        return self.dealt().count()
 
 
 def _cell(kind, num=None, is_int=None, label=None, text=None, canon=None) -> Column:
@@ -164,7 +172,7 @@ def cells(data: Dataset, columns: list[str] | None = None) -> DataFrame:
         else:
             one = lambda n: typed_cell(F.col(f"`{n}`"), kinds[n])
         each = [F.struct(F.lit(n).alias("column"), one(n).alias("c")) for n in names]
-        long = data.rows.select(id_, F.explode(F.array(*each)).alias("x")).select("row_id", "x.column", "x.c")
+        long = data.dealt().select(id_, F.explode(F.array(*each)).alias("x")).select("row_id", "x.column", "x.c")
     return long.select("row_id", "column", "c.*")
 
 

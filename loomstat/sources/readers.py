@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstat import scratch
 from loomstat.sources import avro
 from loomstat.sources.cells import Dataset
 
@@ -25,7 +26,7 @@ def detect_format(path: str) -> str:
 
 def read(spark: SparkSession, path: str, format: str | None = None, multi_line: bool = True) -> Dataset:
     """A dataset from a path. A format that is given holds, whatever the extension. ``multi_line`` off: no quoted CSV cell
-    holds a line feed, so that large files can be split."""
+    holds a line feed, so that large files can be split without a look at their lines."""
     kind = FORMATS[format.lower()] if format else detect_format(path)
     if kind == "csv":
         return read_csv(spark, path, multi_line)
@@ -34,15 +35,36 @@ def read(spark: SparkSession, path: str, format: str | None = None, multi_line:
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Dataset:
     """A header row, then rows as wide as it. Cells keep their text; types are found cell by cell. Of columns of one name
-    the last one counts."""
-    reader = spark.read.options(quote='"', escape='"', mode="FAILFAST", multiLine=str(multi_line).lower())
-    head = reader.options(header="false").csv(path).first()
+    the last one counts. Work on whole tables splits files where lines are rows; otherwise one task parses a file, once."""
+    reader = lambda multi: spark.read.options(quote='"', escape='"', mode="FAILFAST", multiLine=str(multi).lower())
+    head = reader(multi_line).options(header="false").csv(path).first()
     names = [n or "" for n in head] if head else []
-    if len({n.lower() for n in names}) == len(names):
-        return Dataset(reader.options(header="true", enforceSchema="false").csv(path), "text", "csv", path)
-    places = {n: k for k, n in enumerate(names)}
-    rows = reader.options(header="true").schema(", ".join(f"c{k} string" for k in range(len(names)))).csv(path)
-    return Dataset(rows.select(*[F.col(f"c{k}").alias(n) for n, k in places.items()]), "text", "csv", path)
+
+    def table(multi: bool) -> DataFrame:
+        if len({n.lower() for n in names}) == len(names):
+            return reader(multi).options(header="true", enforceSchema="false").csv(path)
+        places = {n: k for k, n in enumerate(names)}
+        rows = reader(multi).options(header="true").schema(", ".join(f"c{k} string" for k in range(len(names)))).csv(path)
+        return rows.select(*[F.col(f"c{k}").alias(n) for n, k in places.items()])
+
+    deal = lambda: table(False) if _lines_are_rows(spark, path) else scratch.written(table(True), "parsed")
+    return Dataset(table(multi_line), "text", "csv", path, deal=deal if multi_line and names else None)
+
+
+def _lines_are_rows(spark: SparkSession, path: str) -> bool:
+    """Whether each line of CSV files is a row of its own: quotes stand around whole cells and close in their line, so the next
+    line starts outside of quotes. Lines that the two ways of parsing could tell apart (carriage returns, a byte order mark,
+    nothing but white space) don't count as such."""
+    value = F.col("value")
+    outer = F.filter(F.split(value, '"', -1), lambda _, k: k % 2 == 0)
+    last = F.size(outer) - 1
+    before = lambda x, k: (x == "") | (k == last) | x.endswith(",")
+    after = lambda x, k: (x == "") | (k == 0) | x.startswith(",")
+    at_edges = F.forall(F.transform(outer, lambda x, k: before(x, k) & after(x, k)), lambda ok: ok)
+    even = (F.length(value) - F.length(F.replace(value, F.lit('"')))) % 2 == 0
+    odd = value.contains("\r") | value.startswith("\ufeff") | ((value != "") & ~value.rlike("[^\\x00-\\x20]"))
+    closed = F.when(value.contains('"'), even & at_edges).otherwise(F.lit(True))
+    return spark.read.text(path, lineSep="\n").where(odd | ~closed).isEmpty()
 
 
 def _variants(texts: DataFrame) -> DataFrame:
