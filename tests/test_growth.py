@@ -41,3 +41,19 @@ def test_csv_is_split_where_lines_are_rows(spark, tmp_path, extra, split):
         assert data.count() == 400 + len(extra)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_json_values_are_taken_by_path(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text(
+        '{"n": 1, "x": 1, "t": "a", "b": true, "big": 9223372036854775807, "m": 1, "dot.ted": 2}\n'
+        ' {"n": 2, "x": 1.50, "t": null, "b": null, "big": 1, "m": "s", "dot.ted": 3, "o": {"z": 1}}\n'
+    )
+    flat, kinds = sinks.tabular(read(spark, str(tmp_path / "t.jsonl")))
+    assert kinds == {"n": "int64", "x": "float64", "t": "utf8", "b": "boolean", "big": "float64", "m": "utf8", "dot.ted": "int64", "o": "utf8"}
+    assert sorted((r.asDict() for r in flat.collect()), key=lambda r: r["n"]) == [
+        {"b": True, "big": 2.0**63, "dot.ted": 2, "m": "1", "n": 1, "o": None, "t": "a", "x": 1.0},
+        {"b": None, "big": 1.0, "dot.ted": 3, "m": "s", "n": 2, "o": '{"z":1}', "t": None, "x": 1.5},
+    ]
+    (tmp_path / "u.jsonl").write_text('{"n": 1, "t": "a"}\n')
+    flat, _ = sinks.tabular(read(spark, str(tmp_path / "u.jsonl")))
+    assert "map<" not in flat._jdf.queryExecution().optimizedPlan().toString()
