@@ -123,7 +123,8 @@ def typed_cell(column: Column, kind: T.DataType) -> Column:
 def variant_cell(v: Column) -> Column:
     def shaped(v: Column) -> Column:
         shape = F.schema_of_variant(v)
-        whole = F.regexp_extract(shape, "^DECIMAL\\(([0-9]+),0\\)$", 1).try_cast("int")
+        # By the shape's text: casting what a pattern doesn't find raises and catches an error for each value.
+        whole = shape.startswith("DECIMAL(") & shape.endswith(",0)")
         kind = (
             F.when(F.is_variant_null(v), "null")
             .when(shape == "BOOLEAN", "boolean")
@@ -132,9 +133,9 @@ def variant_cell(v: Column) -> Column:
             .when(shape.startswith("OBJECT"), "object")
             .otherwise("number")
         )
-        is_int = (shape == "BIGINT") | F.coalesce(whole >= 19, F.lit(False))
+        is_int = (shape == "BIGINT") | (whole & (F.length(shape) >= len("DECIMAL(19,0)")))
         # 1.0 is kept apart from 1
-        point = F.when(whole.isNotNull() & ~is_int, F.lit(".0")).otherwise(F.lit(""))
+        point = F.when(whole & ~is_int, F.lit(".0")).otherwise(F.lit(""))
         return F.struct(v.alias("v"), kind.alias("kind"), is_int.alias("is_int"), point.alias("point"))
 
     def labelled(s: Column) -> Column:

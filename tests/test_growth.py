@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstat.sources import sinks
-from loomstat.sources.cells import frame
+from loomstat.sources.cells import frame, variant_cell
 from loomstat.sources.readers import read
 
 
@@ -57,3 +57,15 @@ def test_json_values_are_taken_by_path(spark, tmp_path):
     (tmp_path / "u.jsonl").write_text('{"n": 1, "t": "a"}\n')
     flat, _ = sinks.tabular(read(spark, str(tmp_path / "u.jsonl")))
     assert "map<" not in flat._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kinds_of_variants_need_no_caught_errors(spark):
+    texts = ["1", "1.0", "1.50", "9223372036854775808", "1e10", '"a"', "true", "null", "[1]", '{"a": 1}']
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, j string").select("k", F.parse_json("j").alias("v"))
+    found = rows.select("k", variant_cell(F.col("v")).alias("c"))
+    assert [(r["c"]["kind"], r["c"]["is_int"], r["c"]["label"]) for r in found.orderBy("k").collect()] == [
+        ("number", True, "1"), ("number", False, "1.0"), ("number", False, "1.5"), ("number", True, "9223372036854775808"),
+        ("number", False, "1.0E10"), ("string", False, "a"), ("boolean", False, "true"), ("null", False, None),
+        ("array", False, None), ("object", False, None),
+    ]
+    assert "regexp_extract" not in found._jdf.queryExecution().optimizedPlan().toString()
