@@ -113,8 +113,10 @@ def matches(real: DataFrame, synthetic: DataFrame, signature_real: Column, signa
 
 
 def standardisation(real: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Means and population deviations (0 counts as 1): two numbers a feature."""
-    wanted = [f(F.col(f"`{c}`").cast("double")) for c in features for f in (F.avg, F.stddev_pop)]
+    """Means and population deviations (0 counts as 1): two numbers a feature. A constant's deviation is 0 by its extremes, since
+    merged partial means leave a remainder of some 1e-16."""
+    spread = lambda x: F.when(F.min(x) == F.max(x), 0.0).otherwise(F.stddev_pop(x))
+    wanted = [f(F.col(f"`{c}`").cast("double")) for c in features for f in (F.avg, spread)]
     row = real.agg(*[w.alias(f"w{k}") for k, w in enumerate(wanted)]).first()
     means = np.array([row[2 * k] or 0.0 for k in range(len(features))])
     spreads = np.array([row[2 * k + 1] or 0.0 for k in range(len(features))])

@@ -36,9 +36,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _round(df: DataFrame) -> DataFrame:
-    """Nine significant digits; zeros of either sign are 0."""
-    sig = lambda c: F.when(F.abs(c) < 1e-9, 0.0).otherwise(F.format_string("%.8e", c).try_cast("double"))
-    return df.select(*[sig(F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+    """Nine significant digits as C's printf gives them, which rounds the binary value itself; zeros of either sign are 0.
+
+    Java's formatter rounds the shortest decimal text, so a number that prints with a ten-digit half could go the other way.
+    Ten digits decide unless the last is 5; then the sign of what the number has beyond that half, which is exact."""
+    doubles = [n for n, t in df.dtypes if t == "double"]
+    if not doubles:
+        return df
+    texts = {n: f"_ten_{k}" for k, n in enumerate(doubles)}
+    tens = df.select("*", *[F.format_string("%.9e", F.abs(F.col(f"`{n}`"))).alias(t) for n, t in texts.items()])
+
+    def product_error(a: Column, b: Column) -> Column:
+        """a * b less its rounded value (Dekker)."""
+        high = lambda c: c * 134217729.0 - (c * 134217729.0 - c)
+        (ah, al), (bh, bl) = ((high(c), c - high(c)) for c in (a, b))
+        return ((ah * bh - a * b) + ah * bl + al * bh) + al * bl
+
+    def sig(n: str) -> Column:
+        x, t = F.abs(F.col(f"`{n}`")), F.col(texts[n])
+        digits = F.concat(F.substring(t, 1, 1), F.substring(t, 3, 9)).try_cast("long")
+        power = F.lit(9) - F.substring(t, 13, 4).try_cast("int")
+        scale = F.concat(F.lit("1e"), F.abs(power).cast("string")).try_cast("double")
+        half = digits.cast("double")
+        beyond = F.when(power >= 0, (x * scale - half) + product_error(x, scale)).otherwise((x - half * scale) - product_error(half, scale))
+        nine = F.floor(digits / 10)
+        up = (beyond > 0) | ((beyond == 0) & (nine % 2 == 1))
+        settled = F.concat((nine + F.when(up, 1).otherwise(0)).cast("string"), F.lit("e"), (F.lit(1) - power).cast("string")).try_cast("double")
+        tie = F.substring(t, 11, 1) == "5"
+        own = F.format_string("%.8e", x).try_cast("double")
+        value = F.when(tie & (F.abs(power) <= 22), settled).otherwise(own)
+        return F.when(x < 1e-9, 0.0).when(F.col(f"`{n}`") < 0, -value).otherwise(value)
+
+    return tens.select(*[sig(n).alias(n) if n in texts else F.col(f"`{n}`") for n in df.columns])
 
 
 def _sig(x: str) -> str:

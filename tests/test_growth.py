@@ -1,10 +1,13 @@
 """Work that must be shared by tasks, and results that must not depend on how it's shared."""
 
 import json
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomstat.plans.queries import _round
+from loomstat.plans.surface import standardisation_documents
 from loomstat.sources import sinks
 from loomstat.sources.cells import frame, variant_cell
 from loomstat.sources.readers import read
@@ -69,3 +72,17 @@ def test_kinds_of_variants_need_no_caught_errors(spark):
         ("array", False, None), ("object", False, None),
     ]
     assert "regexp_extract" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nine_digits_are_rounded_as_printf_does(spark, tmp_path):
+    halves = [k / 40_000 for k in range(99_133_001, 99_134_001)] + [12345678.25, 123456789.5, 123456790.5, -2478.347325, 1.000000005e-9, 3.0, 0.0]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(halves)], "k int, x double")
+    assert [r["x"] for r in sorted(_round(df).collect())] == [float(f"{x:.8e}") for x in halves]
+    # 40,000 documents whose mean length is a half that lies below its decimal text
+    total = next(k for k in range(99_133_001, 99_135_001) if f"{k / 40_000:.8e}" != f"{Decimal(repr(k / 40_000)).quantize(Decimal('1e-5'), ROUND_HALF_UP):.8e}")
+    extra = total % 40_000
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), (total // 40_000 + (F.col("id") < extra).cast("int")).alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = standardisation_documents(spark, str(tmp_path)).first()
+    assert found["mean_n_chars"] == float(f"{total / 40_000:.8e}")
+    assert found["constant_spread"] == 1.0  # deviations of 40,000 threes, merged, weren't quite 0
